@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat, nearest, packing, sharding, warc
+from treeledger.llm import chat, decontam, nearest, packing, sharding, warc
 from treeledger.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("url")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -33,6 +37,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -50,6 +55,22 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
         FROM q
     """,
+    "op5_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        dt AS (SELECT DISTINCT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
+        it AS (SELECT DISTINCT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM i WHERE len(w) >= 5),
+        agree AS (
+            SELECT doc_id, item_id, n, it.p AS p, dt.p - it.p AS s FROM dt JOIN it USING (t)
+            QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, n, dt.p - it.p) >= least(11, n)),
+        windows AS (
+            SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, n, s ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k,
+                   count(*) OVER (PARTITION BY doc_id, item_id, n, s) AS m
+            FROM agree),
+        diagonals AS (SELECT doc_id, item_id, n, s, max(k) AS k, max(m) AS m FROM windows GROUP BY ALL HAVING max(k) >= CASE WHEN n >= 13 THEN 11 ELSE n END)
+        SELECT doc_id, item_id, s AS doc_start, m AS matched, n AS item_tokens, k AS best_window FROM diagonals
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, n ORDER BY k DESC, m DESC, s) = 1
+    """,
     "op6_nearest_neighbours": """
         WITH good AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
