@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat, decontam, nearest, packing, pii, sharding, warc
+from treeledger.llm import chat, decontam, nearest, ngram_join, packing, pii, sharding, warc
 from treeledger.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"), shards=8)
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_formatting": op10_chat_formatting,
@@ -87,6 +92,23 @@ ORACLE_SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents WHERE doc_id IS NOT NULL),
+        s AS (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(generate_series(1, len(words) - 2), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS g
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        reach AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.seen)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
     "op10_chat_formatting": """
         WITH numbered AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
