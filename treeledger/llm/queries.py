@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat, decontam, nearest, ngram_join, packing, pii, sharding, warc
+from treeledger.llm import chat, decontam, nearest, ngram_join, packing, pii, sharding, toxicity, warc
 from treeledger.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("url")
 
@@ -44,6 +48,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
