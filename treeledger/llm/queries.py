@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat, decontam, nearest, ngram_join, packing, pii, sharding, toxicity, warc
+from treeledger.llm import chat, decontam, html_consensus, nearest, ngram_join, packing, pii, sharding, toxicity, warc
 from treeledger.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("url")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
+    "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op6_nearest_neighbours": op6_nearest_neighbours,
