@@ -55,18 +55,20 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, chunk:
     items = materialize(spark, items, "items")
     facts = items.select(F.sum(F.size("tokens")).alias("n"), F.collect_set(F.when(F.size("tokens") < SPAN, F.size("tokens"))).alias("short")).first()
     short, chunks = sorted(facts["short"]), max(1, -(-len(MASKS) * (facts["n"] or 0) // chunk))
-    held = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("tokens"))
+    # The row number is not only for telling rows apart: a projection that has one is not merged into the filter above, which would cut each text into tokens again.
+    held = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
     placed = _seeded(held, short, False)
     hits = []
     for i in range(chunks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == i)
         part = _seeded(part, short, True).select("item_id", F.col("tokens").alias("item"), F.col("position").alias("item_position"), "seed")
-        hits.append(placed.join(F.broadcast(part), "seed").select("doc_id", "item_id", "item", (F.col("position") - F.col("item_position")).alias("start"), "tokens"))
+        start = F.col("position") - F.col("item_position")
+        hits.append(placed.join(F.broadcast(part), "seed").select("row", "doc_id", "item_id", start.alias("start"), "item", F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.size("item")).alias("held")))
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)
-    from_ = F.greatest(F.col("start"), F.lit(0))
-    found = found.withColumn("held", F.slice("tokens", from_ + 1, F.size("item"))).drop("tokens").distinct()
+    # The filter below stays above this aggregation, so what it computes is computed once for each alignment.
+    found = found.groupBy("row", "doc_id", "item_id", "start", F.size("item").alias("n")).agg(F.first("item").alias("item"), F.first("held").alias("held"))
     agree = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.coalesce(F.get("item", i) == F.get("held", i + F.least("start", F.lit(0))), F.lit(False)).cast("int"))
     window = F.least(F.size("item"), F.lit(WINDOW))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("item") - window), lambda i: F.aggregate(F.slice("agree", i + 1, window), F.lit(0), lambda a, x: a + x)))
