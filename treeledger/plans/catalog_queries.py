@@ -1,6 +1,154 @@
-"""Registered queries of the catalogue and the DuckDB statement each is checked against."""
+"""Registered queries of the catalogue and the DuckDB statement each is checked against.
+
+Every query runs over whole derived corpora (see corpora.py). Match caps are production values, but for `m6_skipped`,
+which lowers them so that the rule shows on small tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeledger.functions import scalars as s
+from treeledger.operators import browse, matching, plan_tree, rollup, tree
+from treeledger.plans import corpora
+from treeledger.plans.corpora import DOCS_SQL, SHELF_SQL
+from treeledger.scratch import materialize
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, corpora.shelf(spark, sf_dir), "shelf")
+
+
+def _matched(spark: SparkSession, nodes: DataFrame, p: matching.MatchParams = matching.MatchParams()):
+    groups, skipped = matching.match(spark, nodes, p)
+    return groups, skipped, materialize(spark, rollup.cross_source(groups, nodes), "cross")
+
+
+# Scalars
+
+
+@query("f1_ext", "SELECT DISTINCT p_name AS name, lower(regexp_extract(p_name, '^(?s:.+)\\.([^.]*)$', 1)) AS ext FROM (SELECT url AS p_name FROM pages UNION SELECT '.bashrc' UNION SELECT 'a.' UNION SELECT 'a.B.Txt' UNION SELECT 'none')")
+def f1_ext(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("name")).union(spark.createDataFrame([(".bashrc",), ("a.",), ("a.B.Txt",), ("none",)], "name string")).distinct()
+    return names.select("name", s.ext(F.col("name")).alias("ext"))
+
+
+_TIMES = """
+    t AS (SELECT o_orderkey AS k, strftime(o_orderdate + to_seconds(o_orderkey % 5), '%Y-%m-%d_%H:%M:%S') AS a,
+        CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'junk' ELSE strftime(o_orderdate + to_hours(o_orderkey % 17), '%Y-%m-%d_%H:%M:%S') END AS b FROM orders),
+    p AS (SELECT *, epoch(try_strptime(a, '%Y-%m-%d_%H:%M:%S'))::BIGINT AS sa, epoch(try_strptime(b, '%Y-%m-%d_%H:%M:%S'))::BIGINT AS sb FROM t)"""
+
+
+def _times(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    stamp = lambda ts: F.date_format(ts, "yyyy-MM-dd_HH:mm:ss")
+    a = stamp(day + F.make_dt_interval(secs=(key % 5).cast("decimal(18,6)")))
+    b = F.when(key % 7 == 0, F.lit(None)).when(key % 7 == 1, "junk").otherwise(stamp(day + F.make_dt_interval(hours=(key % 17).cast("int"))))
+    return o.select(key.alias("k"), a.alias("a"), b.alias("b"))
+
+
+@query("f3_mtime_match", f"""WITH {_TIMES} SELECT k, CASE WHEN a = b OR abs(sa - sb) <= 2 THEN 'strong' WHEN abs(sa - sb) > 0 AND abs(sa - sb) % 3600 = 0 AND abs(sa - sb) <= 50400 THEN 'moderate' END AS match FROM p""")
+def f3_mtime_match(spark, sf_dir):
+    return _times(spark, sf_dir).select("k", s.mtime_match(F.col("a"), F.col("b")).alias("match"))
+
+
+@query("f4_mtime_norm", f"""WITH {_TIMES} SELECT k, CASE WHEN b IS NULL THEN -9223372036854775808 WHEN sb IS NULL THEN -9223372036854775807 ELSE sb - (sb % 2 + 2) % 2 END AS norm, sb AS seconds FROM p""")
+def f4_mtime_norm(spark, sf_dir):
+    return _times(spark, sf_dir).select("k", s.mtime_norm(F.col("b")).alias("norm"), s.mtime_seconds(F.col("b")).alias("seconds"))
+
+
+@query("f5_search_match", """SELECT doc_id, contains(lower(substr(text, 1, 200)), 'éa') AS folded, contains(substr(text, 1, 200), 'Th') AS exact,
+    regexp_matches(lower(substr(text, 1, 200)), '(?s)th.*on.e') AS glob, regexp_matches(substr(text, 1, 200), '(?s)T.e ') AS glob_exact FROM documents""")
+def f5_search_match(spark, sf_dir):
+    name = F.substring("text", 1, 200)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", s.search_match(name, "éA").alias("folded"), s.search_match(name, "Th", True).alias("exact"), s.search_match(name, "th*on?e").alias("glob"), s.search_match(name, "T?e ", True).alias("glob_exact"))
+
+
+@query("f_labels", SHELF_SQL + """SELECT node_id, CASE WHEN size < 65536 THEN 'full' ELSE 'sampled' END AS kind, CASE WHEN type = 'directory' THEN 'directory' ELSE 'file' END AS norm_type,
+    coalesce(dev::VARCHAR, NULL) AS volume, CASE WHEN size < 1 THEN '00. empty' WHEN size < 1024 THEN '01. <1K' WHEN size < 4096 THEN '02. 1K-4K' WHEN size < 16384 THEN '03. 4K-16K'
+    WHEN size < 65536 THEN '04. 16K-64K' ELSE '05. 64K-256K' END AS bucket, CASE WHEN size < 1024 THEN size || ' B' WHEN size >= 10240 THEN floor(size / 1024.0 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f', floor(size / 1024.0 * 10 + 0.5) / 10) || ' KB' END AS human,
+    source_id % 8 AS color, depth FROM nodes""")
+def f_labels(spark, sf_dir):
+    size = F.col("size")
+    return corpora.shelf(spark, sf_dir).select("node_id", s.hash_kind_for(size, 65536).alias("kind"), s.normalize_type(F.col("type")).alias("norm_type"), s.cache_volume_id(F.lit(""), F.col("dev")).alias("volume"), s.size_bucket(size).alias("bucket"), s.format_bytes(size).alias("human"), s.source_color(F.col("source_id")).alias("color"), F.col("depth").cast("long").alias("depth"))
+
+
+@query("f17_tiers", """SELECT l_orderkey, l_linenumber, l_quantity * 2 AS c, CASE WHEN c >= 100 THEN 'A' WHEN c >= 99 THEN 'B' WHEN c >= 70 THEN 'C' WHEN c >= 55 THEN 'D' WHEN c >= 45 THEN 'E' END AS tier,
+    CASE WHEN c >= 95 THEN 'strong' WHEN c >= 75 THEN 'medium' ELSE 'weak' END AS tone, floor(greatest(0, least(100, c / 3.0)) * 100 + 0.5) / 100 AS pct2 FROM lineitem""")
+def f17_tiers(spark, sf_dir):
+    c = F.col("l_quantity") * 2
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", c.alias("c"), s.match_tier(c).alias("tier"), s.confidence_tone(c).alias("tone"), s.pct(c / 3.0, 2).alias("pct2"))
+
+
+# Trees and totals
+
+
+@query("c_closure", SHELF_SQL + "SELECT node_id, ancestor_id, distance FROM closure")
+def c_closure(spark, sf_dir):
+    return tree.closure_by_path(corpora.shelf(spark, sf_dir)).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("c_closure_by_parent", SHELF_SQL + "SELECT node_id, ancestor_id, distance FROM closure JOIN nodes USING (node_id) WHERE type = 'directory'")
+def c_closure_by_parent(spark, sf_dir):
+    dirs = corpora.shelf(spark, sf_dir).where("type = 'directory'")
+    return tree.closure_by_parent(spark, dirs).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("p1_live", SHELF_SQL + "SELECT node_id FROM nodes WHERE source_id <> 3")
+def p1_live(spark, sf_dir):
+    return tree.live(corpora.shelf(spark, sf_dir), corpora.sources(spark, (3,))).select("node_id")
+
+
+@query("p2_candidates", SHELF_SQL + "SELECT node_id, lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) AS ext, regexp_extract(parent_path, '[^/]*$') AS parent_name FROM nodes WHERE type IN ('file', 'link') AND alias_of IS NULL")
+def p2_candidates(spark, sf_dir):
+    return matching.candidates(corpora.shelf(spark, sf_dir)).select("node_id", "ext", "parent_name")
+
+
+@query("p3_hash_candidates", SHELF_SQL + "SELECT node_id, size FROM nodes WHERE type = 'file' AND alias_of IS NULL AND size >= 65536 AND size > 0 AND content_hash IS NULL")
+def p3_hash_candidates(spark, sf_dir):
+    from treeledger.operators.hashing import hash_candidates
+
+    return hash_candidates(corpora.shelf(spark, sf_dir), 65536).select("node_id", "size")
+
+
+@query("a1_size_histogram", SHELF_SQL + """, b AS (SELECT source_id, CASE WHEN size < 4096 THEN '02. 1K-4K' WHEN size < 16384 THEN '03. 4K-16K' WHEN size < 65536 THEN '04. 16K-64K' ELSE '05. 64K-256K' END AS bucket, size FROM nodes WHERE type = 'file' AND alias_of IS NULL)
+    SELECT source_id, bucket, count(*) AS files, sum(size)::BIGINT AS bytes, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY source_id), 6) AS pct_files, round(sum(size) * 100.0 / sum(sum(size)) OVER (PARTITION BY source_id), 6) AS pct_bytes FROM b GROUP BY source_id, bucket""")
+def a1_size_histogram(spark, sf_dir):
+    out = rollup.size_histogram(corpora.shelf(spark, sf_dir), s.size_bucket(F.col("size")))
+    return out.withColumns({c: F.round(c, 6) for c in ("pct_files", "pct_bytes")})
+
+
+@query("a2_threshold_preview", SHELF_SQL + "SELECT source_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size >= 65536) AS hashed_files, coalesce(sum(size) FILTER (size >= 65536), 0)::BIGINT AS hashed_bytes FROM nodes WHERE type = 'file' AND alias_of IS NULL GROUP BY source_id")
+def a2_threshold_preview(spark, sf_dir):
+    return rollup.threshold_preview(corpora.shelf(spark, sf_dir), 65536)
+
+
+@query("a3_hardlinks", SHELF_SQL + "SELECT node_id, coalesce(alias_of, node_id) AS canonical_id, count(*) OVER (PARTITION BY coalesce(alias_of, node_id)) AS set_size FROM nodes n WHERE alias_of IS NOT NULL OR EXISTS (SELECT 1 FROM nodes a WHERE a.alias_of = n.node_id)")
+def a3_hardlinks(spark, sf_dir):
+    return tree.hardlinks(corpora.shelf(spark, sf_dir), corpora.sources(spark))
+
+
+@query("a4_subtree_totals", SHELF_SQL + """SELECT n.node_id, CASE WHEN n.type = 'file' THEN n.size WHEN n.type = 'link' THEN 0 ELSE coalesce(t.size, 0) END AS subtree_size, CASE WHEN n.type <> 'directory' THEN 1 ELSE coalesce(t.names, 0) END AS subtree_file_count
+    FROM nodes n LEFT JOIN (SELECT ancestor_id, sum(CASE WHEN type = 'file' AND alias_of IS NULL THEN size ELSE 0 END)::BIGINT AS size, count(*) AS names FROM nodes JOIN closure USING (node_id) WHERE type <> 'directory' GROUP BY ancestor_id) t ON t.ancestor_id = n.node_id""")
+def a4_subtree_totals(spark, sf_dir):
+    return tree.subtree_totals(corpora.shelf(spark, sf_dir))
+
+
+@query("a5_source_totals", SHELF_SQL + "SELECT source_id, sum(size) FILTER (type = 'file')::BIGINT AS total_size, count(*) FILTER (type <> 'directory') AS file_count, coalesce(sum(size) FILTER (alias_of IS NOT NULL), 0)::BIGINT AS alias_bytes, (sum(size) FILTER (type = 'file') - coalesce(sum(size) FILTER (alias_of IS NOT NULL), 0))::BIGINT AS physical_size FROM nodes GROUP BY source_id")
+def a5_source_totals(spark, sf_dir):
+    return tree.source_totals(corpora.shelf(spark, sf_dir))
