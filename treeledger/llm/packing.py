@@ -9,6 +9,7 @@ decreasing runs again, and the new packing of the pool is kept if it has fewer s
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,37 +31,92 @@ WORDS_KEPT = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, loose boolean, bound long"
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, "WordEncoder"] = {}
+
+
+#: Characters for which Python and the tokenizer agree on letters, digits, white space and lower case, and that are in
+#: composed form already: ASCII without U+001C to U+001F, Latin-1 and Latin Extended-A, Cyrillic, general punctuation.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff\u0101-\u017f\u0430-\u045f"
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0132-\u0148\u014a-\u0177\u017a-\u017e\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac]*")
+#: The tokenizer's own way to cut a text into words.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+
+
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from U+0100 on.
+_PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
+
+
+class Memory:
+    """Two generations of a mapping: what was not met while the younger one filled up is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, met: set[str]) -> set[str]:
+        """Those of `met` that are not known; afterwards the others are in `young`."""
+        new = met.difference(self.young)
+        if new and len(self.young) + len(new) > self.most:
+            self.old, self.young, new = self.young, {}, met
+        if new and self.old:
+            old = self.old
+            kept = [w for w in new if w in old]
+            self.young.update((w, old[w]) for w in kept)
+            new = new.difference(kept)
+        return new
 
 
 class WordEncoder:
     """Ids of a text as little-endian bytes, with a memory of the words met lately.
 
-    The tokenizer never joins characters over white space, so a text's ids are those of its words in turn. Python also
-    splits at U+001C to U+001F, which the tokenizer does not; texts with those are encoded whole.
+    The tokenizer never joins characters over white space, and cuts what lies between into words (letters, a digit, other characters)
+    within which it merges, so a text's ids are those of its words in turn. New words are encoded together by the merges
+    alone; each word's last id, and no other, carries the end-of-word mark, which tells them apart. A text with other
+    characters than _PLAIN, or with the start of a special token, is encoded by the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.runs, self.words = Memory(WORDS_KEPT), Memory(WORDS_KEPT)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            plain = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET) for w in some]
+            ids = np.array(self.merges.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            self.words.young.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Encode what lies between white space, a bounded number at a time."""
+        for at in range(0, len(runs), 4096):
+            some = runs[at : at + 4096]
+            cut = [_WORDS.findall(r) for r in some]
+            if new := self.words.missing({w for c in cut for w in c}):
+                self._learn_words(list(new))
+            get = self.words.young.__getitem__
+            self.runs.young.update((r, b"".join(map(get, c))) for r, c in zip(some, cut, strict=True))
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._encode(text)
-        words, known = text.split(), self.known
-        if new := set(words).difference(known):
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self._encode(text).tobytes()
+        runs = text.lower().split()
+        if new := self.runs.missing(set(runs)):
+            self._learn_runs(list(new))
+        return b"".join(map(self.runs.young.__getitem__, runs))
 
 
 def encoder(path: str) -> WordEncoder:
