@@ -1,7 +1,8 @@
 """WARC archives with a Zstandard dictionary.
 
 Each archive is one file: a skippable frame that holds the dictionary, then one frame for each record. The dictionary is
-trained once from a bounded sample of the records to be archived (those with the smallest key hashes), and every archive
+trained once from the first SAMPLE_BYTES of at most SAMPLE_ROWS of the records to be archived (those with the smallest key
+hashes; the archives themselves hold every record whole), and every archive
 embeds it, so each can be read by itself. A record whose payload is archived elsewhere is written as a revisit.
 
 Archives are written through `pyarrow.fs` under a folder that all executors share. A task writes to a name of its
@@ -15,6 +16,7 @@ import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,7 +32,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 
 SAMPLE_ROWS = 512
-SAMPLE_BYTES = 16_384
+SAMPLE_BYTES = 8_192
 DICTIONARY_BYTES = 65_536
 LEVEL = 6
 LEAST_REVISITED = 1000
@@ -141,31 +143,32 @@ def planned(pages: DataFrame) -> DataFrame:
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, rows_an_archive: int = ROWS_AN_ARCHIVE) -> DataFrame:
     """Write archives under `folder` and return one row for each: path, records."""
-    sample = pages.where("html IS NOT NULL").select(F.xxhash64("page_id").alias("k"), F.substring("html", 1, SAMPLE_BYTES).alias("part"), "page_id", "url")
-    sample = sample.orderBy("k", "part").limit(SAMPLE_ROWS).collect()
+    keyed = pages.where("page_id IS NOT NULL").withColumn("k", F.xxhash64("page_id"))
+    keys = [r["k"] for r in keyed.select("k").orderBy("k").limit(SAMPLE_ROWS).collect()]
+    sample = keyed.where(F.col("k") <= (keys[-1] if keys else 0)).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("part")).limit(SAMPLE_ROWS).collect()
     records = [render(Record("response", r["page_id"] or 0, r["url"] or "", p := r["part"].encode(), len(p), hashlib.sha1(p).hexdigest(), None)) for r in sample]
     dictionary = train(records)
-    number = max(1, -(-pages.count() // rows_an_archive))
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
-        path = f"{root}/archive-{task.partitionId():06d}.warc.zst"
-        mine = f"{path}.{task.taskAttemptId()}.part"
 
         def rows():
             for b in batches:
                 for r in b.to_pylist():
                     yield Record("response" if r["refers_to"] is None else "revisit", r["page_id"], r["url"], r["payload"], r["payload_bytes"], r["payload_digest"], r["refers_to"])
 
-        with fs.open_output_stream(mine, compression=None) as out:
-            n = write_archive(out, rows(), dictionary)
-        fs.move(mine, path)
-        yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+        some = rows()
+        for k, first in enumerate(some):
+            path = f"{root}/archive-{task.partitionId():06d}-{k:04d}.warc.zst"
+            mine = f"{path}.{task.taskAttemptId()}.part"
+            with fs.open_output_stream(mine, compression=None) as out:
+                n = write_archive(out, chain([first], islice(some, rows_an_archive - 1)), dictionary)
+            fs.move(mine, path)
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
-    plan = planned(pages).repartition(number, "page_id").sortWithinPartitions("page_id", "url")
-    return plan.mapInArrow(run, "path string, records long")
+    return planned(pages).mapInArrow(run, "path string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
