@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens. Pieces are dealt evenly to
 rows; each partition runs best-fit decreasing and compares its bin count with a lower bound from dual feasible
 functions, which certifies it when they meet. While the whole has more sequences than the global bound, bins that are
 not well filled give their pieces to a common pool, the pool is dealt out anew (so pieces change partition), best-fit
-decreasing runs again, and the new packing of the pool is kept if it has fewer sequences.
+decreasing runs again in fewer partitions, and the new packing of the pool is kept if it has fewer sequences. A
+partition never holds more than ROWS_A_PARTITION * 2^ROUNDS rows of a few numbers each.
 """
 
 from __future__ import annotations
@@ -226,22 +227,21 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacit
     packed = materialize(spark, _pack(cutted, number, 0, capacity), "packed")
     size = lambda df: df.select(F.count_distinct("sequence_id")).first()[0]
     total, first, kept, pool = size(packed), number, [packed], packed
-    for _ in range(rounds):
-        if total <= bound:
-            break
+    for turn in range(1, rounds + 1):
         loose = pool.where("loose")
-        n = loose.count()
-        held = size(loose)
+        n = 0 if total <= bound else loose.count()
         if n == 0:
             break
-        number = max(1, -(-n // rows_a_partition))
+        # Each turn the pool's partitions may hold twice the rows: fewer partitions leave fewer sequences open.
+        held, number = size(loose), max(1, -(-n // (rows_a_partition << turn)))
         again = materialize(spark, _pack(loose.drop("sequence_id", "offset", "loose", "bound"), number, first, capacity), "repacked")
         first += number
-        if (fresh := size(again)) >= held:
+        if (fresh := size(again)) < held:
+            kept[-1] = pool.where("not loose")
+            kept.append(again)
+            pool, total = again, total - held + fresh
+        elif number == 1:
             break
-        kept[-1] = pool.where("not loose")
-        kept.append(again)
-        pool, total = again, total - held + fresh
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
