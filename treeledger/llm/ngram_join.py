@@ -216,14 +216,16 @@ def join_documents(spark: SparkSession, docs: DataFrame, n: int = 5, percent: in
     base = materialize(spark, prepared(docs, n, percent), "ngrams")
     first = base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     rows = base.where("digest IS NOT NULL").join(first, ["doc_id", "digest"], "left_semi").select("doc_id", F.explode("parts").alias("part"))
+    # Dealt by part once: the aggregation and the join below both read this one exchange.
+    rows = rows.repartition("part")
     shared = rows.groupBy("part").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block <> last").drop("last")
-    members = materialize(spark, rows.join(shared, "part").select("block", F.col("doc_id").alias("member")).distinct(), "blocks")
+    members = materialize(spark, rows.join(shared.hint("merge"), "part").select("block", F.col("doc_id").alias("member")).distinct(), "blocks")
     sized = members.join(base.where("digest IS NOT NULL").select(F.col("doc_id").alias("member"), "n_shingles").distinct(), "member")
     shards = sized.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("shards"))
     shard = F.pmod(F.xxhash64("member"), F.col("shards")).cast("int")
     dealt = members.join(shards, "block").withColumn("own", shard).select("block", "member", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
     dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("member"), "text").join(members.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"])
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("member"), "text").join(members.select("member").distinct().hint("merge"), "member", "left_semi").dropDuplicates(["member"])
     groups = dealt.join(texts, "member").select("block", "i", "j", "member", "text")
     links = groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_streamed_links(n, percent), "a long, b long")
     found = components(spark, links)
