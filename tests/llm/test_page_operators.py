@@ -39,6 +39,15 @@ def test_pages_round_trip(spark):
     assert warc.archive_pages(spark, df.limit(0)).count() == 0
 
 
+def test_payloads_that_share_a_page_id(spark):
+    one, two, other = "1" * 2000, "2" * 2000, "3" * 2000
+    pages = [(1, one), (1, two), (1, other), (1, "small"), (8, two), (9, one), (9, one)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.archive_pages(spark, df).collect())
+    copy_of = {(1, one): 9, (1, two): 8}
+    assert got == sorted((i, hashlib.sha1(h.encode()).hexdigest(), "revisit" if (i, h) in copy_of else "response", copy_of.get((i, h), 0)) for i, h in pages)
+
+
 # Page text
 
 

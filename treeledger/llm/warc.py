@@ -136,9 +136,10 @@ def planned(pages: DataFrame) -> DataFrame:
     latest = latest.select("payload_digest", "latest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copies = (
         large.select("page_id", "payload_digest", F.pmod(F.hash("page_id"), F.lit(SALTS)).alias("salt"))
-        .join(latest, ["payload_digest", "salt"]).where("page_id <> latest").select("page_id", F.col("latest").alias("refers_to")).distinct()
+        .join(latest, ["payload_digest", "salt"]).where("page_id <> latest").select("page_id", "payload_digest", F.col("latest").alias("refers_to")).distinct()
     )
-    return rows.join(copies, "page_id", "left")
+    # By digest too: rows that share a page_id may hold other payloads, which are no copies.
+    return rows.join(copies, ["page_id", "payload_digest"], "left")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, rows_an_archive: int = ROWS_AN_ARCHIVE) -> DataFrame:
@@ -197,7 +198,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write every page's record, read the archives back; returns what read_archives does.
 
     Null html is an empty payload, a null url an empty one. Rows with a null page_id are left out: a record needs an
-    identity. Repeated rows are written as often as they occur; with an equal page_id neither refers to the other.
+    identity. Repeated rows are written as often as they occur; with an equal page_id neither refers to the other. Rows
+    of one page_id with different html are told apart by their payloads.
     An empty table gives no rows. Line breaks in a url would end its header, so they are written as %0A and %0D.
     Other columns are ignored. Archives stay under the shared folder.
     """
