@@ -65,6 +65,15 @@ def test_main_text():
     assert html_consensus.extract("<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_raw_elements_and_open_heads():
+    script = "<script>for(i=0;i<n;i++){f('<p>')}</script>"
+    for page in (f"<body>{script}<article><p>Kept</p></article></body>", f"<body><article><style>a<b{{}}</style><p>Kept</p></article>{script}</body>"):
+        assert html_consensus.extract(page, None) == "Kept"
+    for head in ("<head><title>t</title><meta charset=utf-8>", f"<head>{script}<title>a<b</title>", "<head><title>t</title><link rel=x></head>"):
+        for body in ("<body><p>Kept</p></body>", "<div><p>Kept</p></div>", "Kept"):
+            assert html_consensus.extract(f"<html>{head}{body}</html>", None) == "Kept"
+
+
 def test_hosts_agree_on_a_path(spark):
     rows = [(i, f"https://Site.example:80/p/{i}", PAGE.format(n=i, text="word " * 30, reader="r")) for i in range(8)]
     # One page of the host has little in its article and much in a box that looks no different.

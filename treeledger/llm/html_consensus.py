@@ -26,6 +26,8 @@ ENDS = {
     "p": BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"},
 }
+#: Start tags that leave an open head open; any other one ends it, as text does.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 #: Words in a class, id or role that mark what is not article.
 BOILERPLATE = frozenset("""
 ad ads advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb
@@ -72,7 +74,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
     """The generalised paths of a page's containers, numbered in page order, and its blocks outside boilerplate.
 
     Tolerant: unknown end tags are ignored, end tags close what is open within, and blocks end paragraphs, items and
-    cells left open. A page without a body has one container, `body`, that holds everything.
+    cells left open. Raw elements reach to their end tags, whatever stands in them; a head ends at its end tag or at what
+    cannot stand in it. A page without a body has one container, `body`, that holds everything.
     """
     paths: list[str] = ["body"]
     blocks: list[Block] = []
@@ -82,6 +85,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
 
     def text(piece: str) -> None:
         nonlocal block
+        if dropped and open_[-1][0] == "head" and piece.strip():
+            close(len(open_) - 1)
         if dropped or not piece:
             return
         if block is None:
@@ -104,12 +109,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
             if tag in BLOCKS:
                 block = None
 
-    find, size = _TOKEN.finditer, len(html)
-    tokens = find(html)
-    skip = 0
-    for m in tokens:
-        if m.start() < skip:
-            continue
+    find, size = _TOKEN.search, len(html)
+    while m := find(html, at):
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
@@ -130,6 +131,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
                 block = None
             continue
         raw = m[2] or ""
+        if open_ and open_[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(open_) - 1)
         if tag in BLOCKS:
             block = None
             for n in range(len(open_) - 1, -1, -1):
@@ -156,7 +159,7 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
-            skip = at = end.start() if end else size
+            at = end.start() if end else size
             if end is None:
                 break
     if at < size:
