@@ -74,6 +74,25 @@ def test_raw_elements_and_open_heads():
             assert html_consensus.extract(f"<html>{head}{body}</html>", None) == "Kept"
 
 
+def test_whole_container():
+    prose = lambda n: "word " * (n // 5)
+    text = html_consensus.extract(f"<body><article><h1>Headline</h1><div class=story>{prose(4000)}</div></article></body>", None)
+    assert text.startswith("Headline\n") and len(text) > 4000
+    text = html_consensus.extract(f"<body><div class=content><h1>Headline</h1><p>Lead {prose(1300)}</p><div class=entry>{prose(2700)}</div></div></body>", None)
+    assert text.startswith("Headline\nLead") and len(text) > 3990
+    links = "<div><a href=x>a link</a> <a href=y>and another</a></div>"
+    assert "link" not in html_consensus.extract(f"<body><div>{links}<div class=entry>{prose(2700)}</div></div></body>", None)
+
+
+def test_second_template_of_a_host(spark):
+    first = [(i, "http://h/a", f"<body><div class=post><p>{'first ' * 100}</div></body>") for i in range(30)]
+    second = [(40 + i, "http://h/b", f"<body><div class=post><p>tiny</div><div class=other><p>{'second ' * 500}</div></body>") for i in range(3)]
+    odd = [(50, "http://h/c", f"<body><div class=post><p>tiny</div><section><p>{'third ' * 500}</section></body>")]
+    df = spark.createDataFrame(first + second + odd, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in html_consensus.extract_pages(spark, df).collect()}
+    assert by[0].count("first") == 100 and by[40].count("second") == 500 and by[50].count("third") == 500
+
+
 def test_hosts_agree_on_a_path(spark):
     rows = [(i, f"https://Site.example:80/p/{i}", PAGE.format(n=i, text="word " * 30, reader="r")) for i in range(8)]
     # One page of the host has little in its article and much in a box that looks no different.

@@ -1,9 +1,10 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Each page's containers are scored by the text that stands in them outside boilerplate and links, and the page votes for the
+Each page's containers are scored by the text that stands in them outside boilerplate and links. Its best container is the
+one with the best score, or the outermost around it that adds text other than links. The page votes for the
 generalised paths (tags and classes, digits left out) of its best ones. Votes are counted for each host in
-Spark, and pages are extracted again from the containers at their host's winning path; a page that has none at that path falls
-back on its own best container, and one without containers on its body.
+Spark, and pages are extracted again from the containers at one of their host's winning paths; a page that has hardly any text
+there falls back on its own best container, and one without containers on its body.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: How HTML sorts its elements.
@@ -36,6 +37,11 @@ newsletter subscribe subscription signup login share sharing social related reco
 pagination pager toolbar search searchform copyright legal disclaimer complementary contentinfo skip tags
 """.split())
 
+#: Winning paths kept for each host, and what a page votes with.
+MOST_PATHS, ONE_VOTE = 16, 1000
+#: A page follows its host's first path with this share of what it has at any of them, and none below the second share of its own best container.
+HALF, LEAST_SHARE = 0.5, 1 / 32
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -171,40 +177,71 @@ def content(block: Block) -> str:
     return _SPACE.sub(" ", entities.unescape("".join(block.parts))).strip(" ")
 
 
-def score(paths: list[str], blocks: list[Block]) -> dict[int, float]:
-    """Text outside links that stands in each container, deeper ones preferred to those that hold little more."""
+def score(paths: list[str], held: dict[int, float]) -> dict[int, float]:
+    """What each container holds, deeper ones preferred to those that hold little more."""
+    bonus = lambda p: 1.5 if p.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or re.search(r"\b(?:article|post|entry|story)\b", p.rsplit(">", 1)[-1]) else 1.0
+    return {c: v * bonus(paths[c]) * (1 + 0.02 * paths[c].count(">")) for c, v in held.items() if v}
+
+
+def weighed(blocks: list[Block]) -> tuple[dict[int, float], dict[int, int], dict[int, int]]:
+    """Text outside links and text at all that stands in each container, and the container around each."""
     held: dict[int, float] = {}
-    whole = 0.0
+    whole: dict[int, int] = {}
+    around: dict[int, int] = {}
     for b in blocks:
         n = sum(map(len, b.parts))
         gain = max(0.0, n - 2.0 * b.links)
-        whole += gain
         for c in b.path:
             held[c] = held.get(c, 0.0) + gain
-    bonus = lambda p: 1.5 if p.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or re.search(r"\b(?:article|post|entry|story)\b", p.rsplit(">", 1)[-1]) else 1.0
-    return {c: v * bonus(paths[c]) * (1 + 0.02 * paths[c].count(">")) for c, v in held.items() if v}
+            whole[c] = whole.get(c, 0) + n
+        around.update(zip(b.path[1:], b.path))
+    return held, whole, around
+
+
+def best_container(found: dict[int, float], held: dict[int, float], whole: dict[int, int], around: dict[int, int]) -> int:
+    """The best container, or the outermost one around it that adds text which is not mostly links."""
+    best = outer = max(found, key=lambda c: (found[c], -c), default=0)
+    while outer in around:
+        outer = around[outer]
+        if held[outer] - held[best] > 0.5 * (whole[outer] - whole[best]):
+            best = outer
+    return best
 
 
 def votes(html: str | None, most: int = 2) -> list[tuple[str, float]]:
-    """The paths a page votes for, each with its share of the page's best score."""
+    """The paths a page votes for, that of its best container first, each with its share of the page's best score."""
     paths, blocks = parse(html or "")
-    found = score(paths, blocks)
+    weights = weighed(blocks)
+    found = score(paths, weights[0])
+    if not found:
+        return []
     best: dict[str, float] = {}
     for c, v in found.items():
         best[paths[c]] = best.get(paths[c], 0.0) + v
-    top = max(best.values(), default=0)
-    return [(p, v / top) for p, v in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most] if v >= 0.5 * top]
+    top = max(best.values())
+    own = paths[best_container(found, *weights)]
+    others = [(p, v / top) for p, v in sorted(best.items(), key=lambda x: (-x[1], x[0])) if p != own and v >= 0.5 * top]
+    return [(own, 1.0), *others[: most - 1]]
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """Blocks of the containers at `path`, or of the page's own best container where there is none."""
-    paths, blocks = parse(html or "")
-    chosen = {c for c, p in enumerate(paths) if p == path}
-    if not any(chosen.intersection(b.path) for b in blocks):
-        found = score(paths, blocks)
-        best = max(found, key=lambda c: (found[c], -c), default=0)
-        chosen = {c for c, p in enumerate(paths) if p == paths[best]}
-    texts = [content(b) for b in blocks if chosen.intersection(b.path)]
+def extract(html: str | None, paths: list[str] | None) -> str:
+    """Blocks of the containers at one of the host's `paths`, most votes first.
+
+    That is the first path where the page has HALF of what it has at any of them. A page that has hardly anything (LEAST_SHARE of what
+    its own best container holds) at them is extracted from its own best container.
+    """
+    numbered, blocks = parse(html or "")
+    weights = weighed(blocks)
+    held = weights[0]
+    own = best_container(score(numbered, held), *weights)
+    at: dict[str, float] = {}
+    for c in held:
+        at[numbered[c]] = at.get(numbered[c], 0.0) + held[c]
+    there = [p for p in paths or () if p in at]
+    most = max((at[p] for p in there), default=-1.0)
+    chosen = next(p for p in there if at[p] >= HALF * most) if most >= LEAST_SHARE * held.get(own, 0.0) else numbered[own]
+    taken = {c for c, p in enumerate(numbered) if p == chosen}
+    texts = [content(b) for b in blocks if taken.intersection(b.path)]
     return "\n".join(t for t in texts if t)
 
 
@@ -213,7 +250,7 @@ def host(url):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host and path: for each host the path with most votes; ties to the smaller path."""
+    """host and paths: for each host the paths with most votes, ties to the smaller path. But for the first, a path needs more than one page's vote."""
 
     def run(batches):
         for b in batches:
@@ -222,11 +259,13 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 for p, v in votes(page.as_py()):
                     hosts.append(h)
                     paths.append(p)
-                    shares.append(round(v * 1000))
+                    shares.append(round(v * ONE_VOTE))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())], ["host", "path", "votes"])
 
     counted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best")).select("host", F.col("best")["path"].alias("path"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path")))
+    ranked = ranked.where((F.col("rank") <= MOST_PATHS) & ((F.col("rank") == 1) | (F.col("votes") > ONE_VOTE)))
+    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("best")).select("host", F.col("best")["path"].alias("paths"))
 
 
 #: Hosts whose winning paths are sent to every task. More are joined by host.
@@ -251,4 +290,4 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host")).join(best, "host", "left")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
