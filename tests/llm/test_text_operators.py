@@ -251,6 +251,20 @@ def test_folding_and_exceptions():
     assert found("loweiisch") == ["lowei*"] and found("blowei") == [] and found("") == [] and found("a 42 idiotsyncrasy") == []
 
 
+def test_signs_that_stand_for_two_letters():
+    terms = tuple(toxicity.TERMS)
+    found = lambda t: [terms[i] for i in toxicity.matches(toxicity.fold(t), terms)]
+    assert set(found("a 1oser and |ame, 1mbeci1e, imbec|le")) == {"loser", "lame", "imbecile"}
+    assert found("iame k1lled ki11") == ["kill"]
+
+
+def test_terms_of_small_samples_are_learned(spark):
+    r = random.Random(9)
+    rows = [(words(r, 30) + (f" {words(r, 1)} zorgify" if i % 9 == 0 and i < 13 * 9 else "") + " common", i % 9 == 0) for i in range(900)]
+    found = toxicity.found_terms(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert len(found) == 1 and "zorgify".startswith(found[0].rstrip("*"))
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(8)
     bad = ("idiot", "moron", "zorgify", "zorgable", "zorgen")

@@ -6,7 +6,7 @@ exception phrase does not count. The matched weight, alone and as a share of the
 logistic curve.
 
 Weights and curve are fitted on at most SAMPLE_ROWS labelled rows, those whose ids hash smallest. Words and word
-beginnings outside the lexicon join it when the sample shows them in toxic texts and hardly elsewhere, and after many
+beginnings outside the lexicon join it when the sample shows them surely more often in toxic texts, and after many
 different words (those of a passage that was copied follow the same word each time).
 """
 
@@ -27,8 +27,9 @@ from treeledger.llm.common import materialize
 SAMPLE_ROWS = 20_000
 MOST_CANDIDATES = 20_000
 MOST_FOUND = 500
-LEAST_DOCS = 20
-PURITY = 10
+MOST_BEFORE = 20
+#: A term is learned when its log odds are at least LEAST_ODDS, SURE standard errors below their estimate.
+SURE, LEAST_ODDS = 3.0, 1.0
 BEGIN = (4, 7)
 PRIOR_WEIGHT = 2.0
 
@@ -56,7 +57,10 @@ LOOKALIKES = {
     "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "s", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
     "ß": "ss", "æ": "ae", "œ": "oe",
 }
-STANDINS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
+STANDINS = {"0": "o", "1": "1", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "1", "€": "e"}
+#: This sign stands for either letter: folding leaves it, and terms are looked for with it.
+EITHER, LETTERS = "1", "il"
+_EITHER = str.maketrans(LETTERS, EITHER * 2)
 #: Invisible characters are dropped, so that they do not part a word.
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -86,27 +90,34 @@ def fold(text: str) -> str:
 
 
 def automaton(terms: tuple[str, ...]):
-    """Terms (whole words with plural forms, or word beginnings) and exception phrases."""
+    """Terms (whole words with plural forms, or word beginnings) and exception phrases, with EITHER for LETTERS."""
     if ("automaton", terms) not in _cached:
         import ahocorasick
 
-        made = ahocorasick.Automaton()
+        forms: dict[str, list[tuple[int, str]]] = {}
         for i, t in enumerate(terms):
             for form in [f" {t[:-1]}"] if t[-1] == "*" else [f" {t} ", f" {t}s ", f" {t}es "]:
-                made.add_word(form, (i, len(form)))
+                forms.setdefault(form.translate(_EITHER), []).append((i, form))
         for p in EXCEPTIONS:
-            made.add_word(f" {p} ", (-1, len(p) + 2))
+            forms.setdefault(f" {p} ".translate(_EITHER), []).append((-1, f" {p} "))
+        made = ahocorasick.Automaton()
+        for form, held in forms.items():
+            made.add_word(form, held)
         made.make_automaton()
         _cached.clear()
         _cached["automaton", terms] = made
     return _cached["automaton", terms]
 
 
+def spelt(piece: str, form: str) -> bool:
+    return piece == form or EITHER in piece and all(a == b or a == EITHER and b in LETTERS for a, b in zip(piece, form, strict=True))
+
+
 def matches(folded: str, terms: tuple[str, ...]) -> list[int]:
     """Numbers of the terms that occur, as often as they do, outside exception phrases."""
-    found = list(automaton(terms).iter(folded))
-    spared = [(end - n + 1, end) for end, (i, n) in found if i < 0]
-    return [i for end, (i, n) in found if i >= 0 and not any(a <= end - n + 1 and end <= b for a, b in spared)]
+    found = [(end, i, len(form)) for end, held in automaton(terms).iter(folded.translate(_EITHER)) for i, form in held if spelt(folded[end - len(form) + 1 : end + 1], form)]
+    spared = [(end - n + 1, end) for end, i, n in found if i < 0]
+    return [i for end, i, n in found if i >= 0 and not any(a <= end - n + 1 and end <= b for a, b in spared)]
 
 
 def measures(weight: float, words: int) -> tuple[float, float]:
@@ -126,7 +137,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def affixes(folded: str) -> dict[str, str]:
     """Words and word beginnings (marked by *) of a folded text, each with a word that it follows."""
-    words = folded.split()
+    words = folded.replace(EITHER, LETTERS[0]).split()
     out = {}
     for before, w in zip(["", *words], words, strict=False):
         if len(w) > 2:
@@ -147,7 +158,7 @@ def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
                     if wanted is None or w in wanted:
                         at = counts.setdefault(w, [0, set()])
                         at[0] += 1
-                        if wanted is None and len(at[1]) < LEAST_DOCS:
+                        if wanted is None and len(at[1]) < MOST_BEFORE:
                             at[1].add(before)
         rows = [(w, n, sorted(p)) for w, (n, p) in counts.items()]
         for k in range(0, len(rows), 20_000):
@@ -157,16 +168,30 @@ def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return sample.mapInArrow(run, "affix string, n long, before array<string>").groupBy("affix").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
 
 
+def least_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+    """A lower confidence bound of the log ratio of a term's rates in toxic and in clean texts."""
+    a, b = toxic + 0.5, clean + 0.5
+    return math.log(a / (all_toxic + 1)) - math.log(b / (all_clean + 1)) - SURE * math.sqrt(1 / a + 1 / b)
+
+
 def found_terms(sample: DataFrame) -> list[str]:
-    """Words and word beginnings outside the lexicon that the sample shows in toxic texts and hardly elsewhere, shortest first."""
-    enough = (F.col("n") >= LEAST_DOCS) & (F.col("before") >= 0.6 * LEAST_DOCS)
+    """Words and word beginnings outside the lexicon that the sample shows surely more often in toxic texts, those in most of them first."""
+    kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sizes = kinds.get(True, 0), kinds.get(False, 0)
+    # What fewer texts hold cannot pass the test below, even if no clean one holds it.
+    fewest = next((n for n in range(1, sizes[0] + 1) if least_odds(n, 0, *sizes) >= LEAST_ODDS), None)
+    if fewest is None:
+        return []
+    enough = (F.col("n") >= fewest) & (F.col("before") >= 0.6 * F.least("n", F.lit(MOST_BEFORE)))
     toxic = {r["affix"]: r["n"] for r in _counted(sample.where("toxic"), None).where(enough).orderBy(F.desc("n"), "affix").limit(MOST_CANDIDATES).collect()}
     clean = {r["affix"]: r["n"] for r in _counted(sample.where("not toxic"), frozenset(toxic)).collect()}
     known = {f for t in TERMS for f in (t, t + "s", t + "es")}
+    odds = {w: least_odds(n, clean.get(w, 0), *sizes) for w, n in toxic.items()}
     found: list[str] = []
-    for w in sorted(toxic, key=lambda w: (len(w), w)):
+    # The surest of a word and its beginnings stays.
+    for w in sorted((w for w in odds if odds[w] >= LEAST_ODDS), key=lambda w: (-odds[w], len(w), w)):
         of_known = w in known or w[-1] == "*" and any(t.startswith(w[:-1]) for t in TERMS)
-        if not of_known and toxic[w] >= PURITY * clean.get(w, 0) and not any(f[-1] == "*" and w.startswith(f[:-1]) for f in found):
+        if not of_known and not any(f[-1] == "*" and w.startswith(f[:-1]) or w[-1] == "*" and f.startswith(w[:-1]) for f in found):
             found.append(w)
     return sorted(found, key=lambda w: (-toxic[w], w))[:MOST_FOUND]
 
