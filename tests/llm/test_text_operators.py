@@ -28,6 +28,15 @@ def words(r, n):
 EDGE = [(0, None), (1, ""), (2, " \n"), (3, "one"), (4, "Two words"), (4, "Two words"), (5, "x" * 50_000), (6, "é ß 😀 a@b.cd")]
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(12)
+    a, b, c, d = (words(r, 40) for _ in range(4))
+    docs = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (None, c), (None, d), (None, d), (None, ""), (None, None)]
+    kept = ngram_join.keep_one(spark, table(spark, docs))
+    assert kept.columns == ["doc_id", "text", "group", "part", "tokens"]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted([(1, a), (1, b), (3, c), (None, d), (None, ""), (None, None)], key=repr)
+
+
 # Sharding
 
 

@@ -233,8 +233,28 @@ def join_documents(spark: SparkSession, docs: DataFrame, n: int = 5, percent: in
     return base.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with a column `key` that tells doc_id and text apart and is ordered by doc_id, ids that are null last."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    if ids.where("doc_id IS NULL OR low <> high").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    marked = docs.withColumn("mark", mark)
+    keys = marked.select("doc_id", "mark").distinct().orderBy(F.asc_nulls_last("doc_id"), "mark").withColumn("key", F.monotonically_increasing_id())
+    # Written, as the numbers depend on how the sort is dealt.
+    keys = materialize(spark, keys, "keys").select(F.col("doc_id").alias("id"), F.col("mark").alias("its"), "key")
+    return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select(*docs.columns, "key")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns; documents without an id or n-grams stay."""
-    found = join_documents(spark, docs, n, percent)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The document with the smallest doc_id of each component, with all columns; documents without n-grams stay.
+
+    Rows of one doc_id are repeats only if their texts are equal, else each is a document. Documents without an id come after the others.
+    """
+    # The white space at which ngrams cuts.
+    blank = F.coalesce(F.col("text").rlike(r"\A[\x09-\x0d\x20]*\z"), F.lit(True))
+    nameless = F.col("doc_id").isNull() & blank
+    keyed = _keyed(spark, docs.where(~nameless))
+    found = join_documents(spark, keyed.select(F.col("key").alias("doc_id"), "text"), n, percent)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns).unionByName(docs.where(nameless))
