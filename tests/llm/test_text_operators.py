@@ -157,6 +157,53 @@ def test_join_against_all_pairs(spark, n, percent):
     assert ngram_join.join_documents(spark, table(spark, [])).count() == 0
 
 
+def plain_rows(docs, n, percent):
+    """Like plain_components, but every row is a document, whatever its id: sorted (doc_id, n_shingles, component_id)."""
+    found = plain_components(list(enumerate(t for _, t in docs)), n, percent)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        c = found[k][1]
+        least[c] = min(least.get(c, (True, 0)), (i is None, i or 0))
+    return sorted(((i, found[k][0], None if least[found[k][1]][0] else least[found[k][1]][1]) for k, (i, _) in enumerate(docs)), key=repr)
+
+
+def test_join_of_rows_without_ids_and_with_shared_ones(spark):
+    r = random.Random(14)
+    a, b, c, d = (words(r, 60) for _ in range(4))
+    near = lambda t, k: " ".join([*t.split()[:-1], f"other{k}"])
+    # A row without an id joins two that have one and are too far apart by themselves.
+    bridge = " ".join(a.split()[3:] + ["p", "q", "r"])
+    docs = [(1, a), (1, b), (2, near(b, 1)), (None, bridge), (7, " ".join(bridge.split()[3:] + ["s", "t", "u"])), (None, c), (None, near(c, 1)), (None, None), (None, ""), (3, " "), (4, d), (4, d), (None, d)]
+    got = ngram_join.join_documents(spark, table(spark, docs), 3, 90).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == plain_rows(docs, 3, 90)
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.join_documents(spark, table(spark, docs), 3, 50)
+
+
+@pytest.mark.parametrize("common", [512, 1 << 40])
+def test_a_large_group_of_near_copies(spark, monkeypatch, common):
+    """One block in many shards, whose members link in chains, apart and not at all."""
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
+    monkeypatch.setattr(ngram_join, "LEAST_SAMPLE", 1024)
+    r = random.Random(15)
+    base = words(r, 80).split()
+    docs = []
+    for k in range(250):
+        v = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 3, 6))):
+            v[r.randrange(30, len(v))] = f"x{r.randint(0, 400)}"
+        docs.append((k, " ".join(v)))
+    # A second group that shares the first part of the text only.
+    tail = words(r, 30).split()
+    for k in range(40):
+        v = base[:50] + tail
+        v[r.randrange(50, len(v))] = f"y{k}"
+        docs.append((1000 + k, " ".join(v)))
+    got = ngram_join.join_documents(spark, table(spark, docs), 3, 90, tile=1500).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain_components(docs, 3, 90)
+
+
 def test_signatures_are_shared_by_linked_sets():
     r = np.random.default_rng(5)
     for percent in (80, 90):

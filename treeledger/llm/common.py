@@ -1,45 +1,28 @@
-"""What the corpus operators share: table access, scratch tables, exact key digests."""
+"""What the corpus operators share: table access, scratch tables, exact keys of documents."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeledger.scratch import discard, mark, materialize, release, scratch_path
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data directory. Spark opens the path, so any store Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="treeledger-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+__all__ = ["DOCUMENT", "discard", "document_key", "mark", "materialize", "release", "scratch_path", "table", "text_key"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/treeledger/{name}-{uuid.uuid4().hex}"
+#: Columns that tell documents apart: id and text. Rows that agree in both are one document several times.
+DOCUMENT = ["nameless", "id", "text_key"]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this library under the shared folder; results not yet read become unreadable."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/treeledger")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data directory. Spark opens the path, so any store Spark knows will do."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_key(text: Column) -> Column:
     """128-bit digest of a text that stands for the text itself in grouping; null counts as its own value."""
     return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
+def document_key() -> list[Column]:
+    """DOCUMENT, none of them null, in an order that puts ids before their lack."""
+    return [F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_key(F.col("text")).alias("text_key")]

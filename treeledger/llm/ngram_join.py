@@ -2,17 +2,22 @@
 
 Two documents link when 100 * |A and B| >= percent * |A or B|. The join is exact up to 64-bit hashing of n-grams:
 
-1. Equal sets collapse to their smallest document.
+1. Documents with equal sets are one class; classes are numbered, and all that follows is about classes.
 2. Sets are partitioned. Linked sets differ in few n-grams, fewer than the number of parts that their size class is hashed
-   into, so some part is equal in both; documents that share a part fall into one block, named after the smallest
-   document with that part. A part has about ten n-grams, so a passage or line that many documents share does not
+   into, so some part is equal in both; classes that share a part fall into one block, named after the smallest
+   class with that part, its representative. A part has about ten n-grams, so a passage or line that many documents share does not
    bring them together, as single n-grams would.
 3. In a block, similar documents form groups, and a matrix from n-gram to groups holds each group's token union. A
    document's n-grams are counted against the matrix; a group whose union holds under `percent` of them cannot hold a
    link and stays shut, the others are opened and compared, but for members already in the same component.
-4. The links found span the components of each block; alternating large-star and small-star steps join them.
-
-A block larger than TILE_NGRAMS is cut into shards, and each pair of shards is a task of its own.
+4. A block larger than TILE_NGRAMS is cut into shards, and the representative goes to each: members that link with
+   it, or with one that does, need not meet across shards any more. Only the rest of a block, those outside its largest component, is
+   then compared with the other shards. So a large group of near copies costs in proportion to its size.
+5. The links found span the components; alternating large-star and small-star steps join them.
+
+Joins on keys that many rows may share (a part, a block, a class) are plain sort-merge joins, whose skewed partitions adaptive execution
+splits. Parts that very many classes share are told from a sample of classes and met by partial aggregation and a
+broadcast instead of a shuffle; the sample steers where rows go, not what is found.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize
+from treeledger.llm.common import DOCUMENT, discard, document_key, materialize
 
 WORDS_KEPT = 300_000
 TILE_NGRAMS = 300_000
@@ -33,6 +38,8 @@ GROUP_MEMBERS = 64
 #: in common might be the empty one, which is not used.
 FEW_PARTS, EXTRA = 32, 6
 GROWTH = 1.5
+#: A part is common when it is in 1/COMMON of a sample of one class in SAMPLED, or in 1/COMMON of LEAST_SAMPLE classes of it.
+COMMON, SAMPLED, LEAST_SAMPLE = 512, 64, 8192
 
 _words: dict[bytes, int] = {}
 
@@ -95,7 +102,7 @@ def signatures(s: np.ndarray, percent: int, tops: np.ndarray, parts: np.ndarray)
 
 
 def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set) and parts of every row."""
+    """DOCUMENT, n_shingles, digest (null for an empty set) and parts of every row."""
     tops, counts = classes(percent)
 
     def run(batches):
@@ -103,7 +110,7 @@ def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
         for b in batches:
             sizes, digests, flat, ends = [], [], [], [0]
-            for text in b.column(1):
+            for text in b.column(3):
                 s = ngrams(text.as_py(), n)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -111,15 +118,18 @@ def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 flat.append(sigs)
                 ends.append(ends[-1] + len(sigs))
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["doc_id", "n_shingles", "digest", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*DOCUMENT, "n_shingles", "digest", "parts"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, parts array<long>")
+    return docs.select(*document_key(), "text").mapInArrow(run, "nameless boolean, id long, text_key binary, n_shingles long, digest binary, parts array<long>")
 
 
-def block_links(ids: list[int], sets: list[frozenset[int]], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of the documents of a block, found with a token-group matrix."""
+def block_links(ids: list[int], sets: list[frozenset[int]], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the documents of a block, found with a token-group matrix. `known`: components that they are in already."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     parent = list(range(len(ids)))
+    if known:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(c, i) for i, c in enumerate(known)]
 
     def root(i):
         while parent[i] != i:
@@ -156,24 +166,25 @@ def block_links(ids: list[int], sets: list[frozenset[int]], percent: int) -> lis
 
 
 def _streamed_links(n: int, percent: int):
-    """For mapInArrow over rows ordered by (block, i, j): the links of one group after the other."""
+    """For mapInArrow over rows ordered by (block, i, j) with known components: the links of one group after the other."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, ids, sets, known = None, [], [], []
 
         def out():
-            found = block_links(ids, sets, percent)
+            found = block_links(ids, sets, percent, known)
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
         for batch in batches:
-            blocks, i, j, members, texts = (batch.column(k) for k in range(5))
+            blocks, i, j, members, components_, texts = (batch.column(k) for k in range(6))
             for k in range(batch.num_rows):
                 now = (blocks[k].as_py(), i[k].as_py(), j[k].as_py())
                 if now != key:
                     if len(ids) > 1:
                         yield out()
-                    key, ids, sets = now, [], []
+                    key, ids, sets, known = now, [], [], []
                 ids.append(members[k].as_py())
+                known.append(components_[k].as_py())
                 sets.append(frozenset(ngrams(texts[k].as_py(), n).tolist()))
         if len(ids) > 1:
             yield out()
@@ -184,8 +195,8 @@ def _streamed_links(n: int, percent: int):
 def components(spark: SparkSession, links: DataFrame, limit: int = 50) -> DataFrame:
     """node and component (the smallest node that it reaches) of every node that has a link (a, b)."""
     edges = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(edges)
+    signed = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = signed(edges)
     for _ in range(limit):
         if not before[0]:
             break
@@ -195,7 +206,7 @@ def components(spark: SparkSession, links: DataFrame, limit: int = 50) -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(spark, small, "edges")
-        after = mark(edges)
+        after = signed(edges)
         if after == before:
             break
         before = after
@@ -205,56 +216,108 @@ def components(spark: SparkSession, links: DataFrame, limit: int = 50) -> DataFr
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _blocks(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """block and member of every class that shares a part with another."""
+    rows = sets.select("key", F.explode("parts").alias("part"))
+    part = lambda df: df.groupBy("part").agg(F.min("key").alias("block"), F.max("key").alias("last")).where("block <> last").drop("last")
+    least = max(2, max(LEAST_SAMPLE, sets.count() // SAMPLED) // COMMON)
+    common = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).groupBy("part").count().where(F.col("count") >= least).select("part")
+    common = materialize(spark, common, "common-parts")
+    # At most COMMON of them for each part that a class has on average: 8 MB are broadcast at most, more are shuffled like the others.
+    few = 0 < common.count() <= 1 << 20
+    # Dealt by part once: the aggregation and the join below both read this one exchange.
+    rare = (rows.join(F.broadcast(common), "part", "left_anti") if few else rows).repartition("part")
+    found = rare.join(part(rare).hint("merge"), "part").select("block", F.col("key").alias("member"))
+    if few:
+        met = rows.join(F.broadcast(common), "part", "left_semi")
+        found = found.union(met.join(F.broadcast(materialize(spark, part(met), "common-blocks")), "part").select("block", F.col("key").alias("member")))
+    return materialize(spark, found.distinct(), "blocks")
+
+
+def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) that span the components of the classes."""
+    key = F.col("member")
+    cut = members.join(sets.select(F.col("key").alias("member"), "n_shingles"), "member")
+    shards = cut.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("shards"))
+    dealt = cut.join(shards, "block").select("block", F.pmod(F.xxhash64(key), F.col("shards")).cast("int").alias("shard"), "member", "n_shingles", "shards")
+    dealt = materialize(spark, dealt, "dealt")
+    names = sets.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("member"), *DOCUMENT)
+    texts = docs.select(*document_key(), "text").join(names.hint("merge"), DOCUMENT).groupBy("member").agg(F.first("text").alias("text"))
+    texts = materialize(spark, texts, "texts")
+    shape = "a long, b long"
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        groups = rows.join(texts, "member").select("block", "i", "j", "member", "component", "text")
+        return materialize(spark, groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_streamed_links(n, percent), shape), name)
+
+    none = F.lit(0).alias("j")
+    home = F.pmod(F.xxhash64("block"), F.col("shards")).cast("int")
+    envoys = dealt.where("shards > 1").select("block", "shards").distinct().select("block", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"))
+    envoys = envoys.where("i <> home").select("block", "i", none, F.col("block").alias("member"), F.col("block").alias("component"))
+    links = compared(dealt.select("block", F.col("shard").alias("i"), none, "member", key.alias("component")).union(envoys), "links")
+
+    split = dealt.where("shards > 1")
+    if split.isEmpty():
+        return links
+    found = components(spark, links).withColumnRenamed("node", "member")
+    split = materialize(spark, split.join(found, "member", "left").withColumn("component", F.coalesce("component", "member")), "split")
+    sizes = split.groupBy("block", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("size", (-F.col("component")).alias("c")))["c"].alias("c")).select("block", (-F.col("c")).alias("main"))
+    rest = materialize(spark, split.join(main, "block").where("component <> main").drop("main"), "rest")
+    if rest.isEmpty():
+        return links
+    rests = rest.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("rests"))
+    guests = rest.join(rests, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"), F.pmod(F.xxhash64(key, F.lit(1)), F.col("rests")).cast("int").alias("j"), F.lit(True).alias("guest"), "member", "component", "shard")
+    hosts = split.join(rests, "block").select("block", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"), "member", "component")
+    # Guests meet their own shard where they are already.
+    guests = guests.where("i <> shard").select("block", "i", "j", "member", "component")
+    return links.union(compared(hosts.union(guests), "more-links"))
+
+
+def _joined(spark: SparkSession, docs: DataFrame, n: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of `prepared`, and for each digest: DOCUMENT of its least document, and the key of its component."""
+    if not 67 <= percent <= 100:
+        raise ValueError("sets that differ by more than a third of their sizes are not met: percent must be from 67 to 100")
+    whole = materialize(spark, prepared(docs, n, percent), "ngrams")
+    first = whole.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(*DOCUMENT)).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts"))
+    # Numbers are of a written table, as they depend on how it is dealt.
+    sets = materialize(spark, first.select("digest", "least.*", "n_shingles", "parts", F.monotonically_increasing_id().alias("key")), "sets")
+    base = materialize(spark, whole.drop("parts"), "rows")
+    discard(spark, whole)
+    members = _blocks(spark, sets)
+    found = components(spark, _links(spark, docs, sets, members, n, percent, tile))
+    named = sets.join(found, sets["key"] == found["node"], "left").select("digest", *DOCUMENT, F.coalesce("component", "key").alias("component"))
+    return base, materialize(spark, named, "named")
+
+
 def join_documents(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE_NGRAMS) -> DataFrame:
     """Components of the similarity join; returns doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included).
 
-    A null or empty text, or one without words, has no n-gram and links with nothing. Rows with a null doc_id are left out, as a
-    link could not name them. Repeated rows are returned as often as they occur. An empty table gives no rows. Other
+    A null or empty text, or one without words, has no n-gram and links with nothing. Every row is a document: rows that share a
+    doc_id may have different texts, and a row with a null doc_id links like any other; component_id is null only where
+    no document of the component has an id. Repeated rows are returned as often as they occur. An empty table gives no rows. Other
     columns are ignored. Texts are read whole.
     """
-    docs = docs.select("doc_id", "text")
-    base = materialize(spark, prepared(docs, n, percent), "ngrams")
-    first = base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    rows = base.where("digest IS NOT NULL").join(first, ["doc_id", "digest"], "left_semi").select("doc_id", F.explode("parts").alias("part"))
-    # Dealt by part once: the aggregation and the join below both read this one exchange.
-    rows = rows.repartition("part")
-    shared = rows.groupBy("part").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block <> last").drop("last")
-    members = materialize(spark, rows.join(shared.hint("merge"), "part").select("block", F.col("doc_id").alias("member")).distinct(), "blocks")
-    sized = members.join(base.where("digest IS NOT NULL").select(F.col("doc_id").alias("member"), "n_shingles").distinct(), "member")
-    shards = sized.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("shards"))
-    shard = F.pmod(F.xxhash64("member"), F.col("shards")).cast("int")
-    dealt = members.join(shards, "block").withColumn("own", shard).select("block", "member", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("member"), "text").join(members.select("member").distinct().hint("merge"), "member", "left_semi").dropDuplicates(["member"])
-    groups = dealt.join(texts, "member").select("block", "i", "j", "member", "text")
-    links = groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_streamed_links(n, percent), "a long, b long")
-    found = components(spark, links)
-    named = first.join(found, first["doc_id"] == found["node"], "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    return base.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with a column `key` that tells doc_id and text apart and is ordered by doc_id, ids that are null last."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    ids = docs.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-    if ids.where("doc_id IS NULL OR low <> high").isEmpty():
-        return docs.withColumn("key", F.col("doc_id").cast("long"))
-    marked = docs.withColumn("mark", mark)
-    keys = marked.select("doc_id", "mark").distinct().orderBy(F.asc_nulls_last("doc_id"), "mark").withColumn("key", F.monotonically_increasing_id())
-    # Written, as the numbers depend on how the sort is dealt.
-    keys = materialize(spark, keys, "keys").select(F.col("doc_id").alias("id"), F.col("mark").alias("its"), "key")
-    return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select(*docs.columns, "key")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns; documents without n-grams stay.
-
-    Rows of one doc_id are repeats only if their texts are equal, else each is a document. Documents without an id come after the others.
+    base, named = _joined(spark, docs, n, percent, tile)
+    least = named.groupBy("component").agg(F.min(F.struct("nameless", "id")).alias("least"))
+    ids = named.join(least, "component").select("digest", F.when(~F.col("least.nameless"), F.col("least.id")).alias("component_id"))
+    own = F.when(~F.col("nameless"), F.col("id"))
+    # Rows without a set are kept off the join, where their null digests would meet in one task.
+    some = base.where("digest IS NOT NULL").select(own.alias("doc_id"), "n_shingles", "digest").join(ids, "digest").drop("digest")
+    return some.unionByName(base.where("digest IS NULL").select(own.alias("doc_id"), "n_shingles", own.alias("component_id")))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE_NGRAMS) -> DataFrame:
+    """The least document of each component, by doc_id and then by a digest of the text, with all columns; documents without n-grams stay.
+
+    Rows of one doc_id are repeats only if their texts are equal, else each is a document. Documents without an id come after the
+    others. Of rows that repeat a document one stays. Null and empty texts have no n-grams; an empty table gives an empty one.
     """
     # The white space at which ngrams cuts.
     blank = F.coalesce(F.col("text").rlike(r"\A[\x09-\x0d\x20]*\z"), F.lit(True))
-    nameless = F.col("doc_id").isNull() & blank
-    keyed = _keyed(spark, docs.where(~nameless))
-    found = join_documents(spark, keyed.select(F.col("key").alias("doc_id"), "text"), n, percent)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns).unionByName(docs.where(nameless))
+    _, named = _joined(spark, docs, n, percent, tile)
+    stay = named.groupBy("component").agg(F.min(F.struct(*DOCUMENT)).alias("least")).select("least.*")
+    keyed = docs.where(~blank).withColumns({f"_{c}": k for c, k in zip(DOCUMENT, document_key(), strict=True)})
+    own = [f"_{c}" for c in DOCUMENT]
+    kept = keyed.join(stay.toDF(*own).hint("merge"), own, "left_semi").dropDuplicates(own)
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
