@@ -1,6 +1,9 @@
 import hashlib
+import html.parser
 import io
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,6 +87,134 @@ def test_whole_container():
     assert "link" not in html_consensus.extract(f"<body><div>{links}<div class=entry>{prose(2700)}</div></div></body>", None)
 
 
+def test_names_of_boilerplate():
+    for name in ("sidebar", "site-header", "ad-slot", "adSlot", "comment-list", "comments", "share-buttons", "related-posts", "cookie-notice", "nav-links", "site-header-inner", "post-comments", "entry-footer", "sidebar-1", "comment-body"):
+        assert html_consensus.marked(name), name
+    for name in ("has-sidebar", "with-sidebar", "no-ads", "post-header", "table-header", "table-header-row", "notice-period", "content", "post-body", "main-content-with-sidebar", "sidebar-layout", "header-image", "", "42"):
+        assert not html_consensus.marked(name), name
+
+
+def test_classes_that_only_seem_boilerplate():
+    extract = lambda page: html_consensus.extract(page, None)
+    prose = "Some words of an article that goes on for a while. " * 8
+    assert extract(f'<body><div class="content has-sidebar"><p>{prose}</p></div></body>') == prose.strip()
+    assert extract(f'<body><article><div class="post-header"><h1>Head</h1></div><p>{prose}</p><table><tr class="table-header"><th>Col</th></tr></table><p class="notice-period">One month.</p></article></body>') == f"Head\n{prose.strip()}\nCol\nOne month."
+    # The whole page under a class that names boilerplate, and a main part under one.
+    assert extract(f'<body><div class="banner"><p>{prose}</p></div></body>') == prose.strip()
+    assert extract(f'<body><div class="overlay"><div class="menu">x</div><main><p>{prose}</p></main></div></body>') == prose.strip()
+    # But readers' words stay out, however many.
+    assert extract(f'<body><article><p>Short.</p></article><div class="comments"><p>{prose * 30}</p></div></body>') == "Short."
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    n, began = 60_000, time.monotonic()
+    extract = lambda page: html_consensus.extract(page, None)
+    assert extract("<div>" * n + "deep") == "deep" and extract("<div class='a b'>x" * n).count("x") == n
+    assert extract("<a " * n).startswith("<a <a") and extract("<p><i>" * n + "t") == "t" and extract("<b><i>" * n + "</b>" * n + "t") == "t"
+    assert extract("<div>" * n + "</nothing>" * n + "t") == "t" and extract('<a x="> "' * n + "t").endswith("t") and extract("<script>a</script>" * n + "t") == "t"
+    assert time.monotonic() - began < 60
+    assert html_consensus.extract('<p title="a>b">one</p><p it\'s>two</p><p>three</p>', None) == "one\ntwo\nthree"
+
+
+class Tree(html.parser.HTMLParser):
+    """A page as a tree, by the standard parser; with the scoring below a plain second version for pages that are not broken."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = {"tag": "body", "of": None, "in": [], "drop": False, "class": ""}
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        named = {k: v or "" for k, v in attrs}
+        if tag in ("html", "body"):
+            return
+        if tag == "br":
+            self.at["in"].append(" ")
+        if tag in html_consensus.VOID:
+            return
+        ends = {"p": html_consensus.BLOCKS, "li": {"li"}, "tr": {"tr"}, "td": {"td", "tr"}, "th": {"th", "tr"}}
+        while self.at["of"] and tag in ends.get(self.at["tag"], ()):
+            self.at = self.at["of"]
+        inside = [x["tag"] for x in self.line()]
+        words = re.findall("[a-z]+", (named.get("class", "") + " " + named.get("id", "")).lower())
+        drop = tag in html_consensus.DROPPED and not (tag == "header" and "article" in inside) or bool(html_consensus.BOILERPLATE.intersection(words)) and tag not in ("article", "main")
+        node = {"tag": tag, "of": self.at, "in": [], "drop": drop, "class": named.get("class", "")}
+        self.at["in"].append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        for x in self.line():
+            if x["tag"] == tag and x["of"]:
+                self.at = x["of"]
+                return
+
+    def handle_data(self, data):
+        self.at["in"].append(data)
+
+    def line(self):
+        x = self.at
+        while x:
+            yield x
+            x = x["of"]
+
+
+def plain_text(node, link=False):
+    """(blocks of a node, each a list of its texts and of whether they are linked)."""
+    out = [[]]
+    for x in node["in"]:
+        if isinstance(x, str):
+            out[-1].append((x, link))
+        elif not x["drop"]:
+            inner = plain_text(x, link or x["tag"] == "a")
+            if x["tag"] in html_consensus.BLOCKS:
+                out += [*inner, []]
+            else:
+                out[-1] += inner[0]
+                out += inner[1:]
+    return out
+
+
+def plain_extract(page):
+    """The text of the best container, scored afresh for each."""
+    found = []
+
+    def walk(node, depth):
+        if node["tag"] in html_consensus.CONTAINERS or node["of"] is None:
+            blocks = plain_text(node)
+            size = sum(max(0, sum(len(t) for t, _ in b) - 2 * sum(len(t) for t, linked in b if linked)) for b in blocks if "".join(t for t, _ in b).strip())
+            whole = sum(len(t) for b in blocks for t, _ in b if "".join(t for t, _ in b).strip())
+            bonus = 1.5 if node["tag"] in ("article", "main") or re.search(r"\b(article|post|entry|story)\b", node["class"]) else 1
+            found.append((size * bonus * (1 + 0.02 * depth), size, whole, node))
+            depth += 1
+        for x in node["in"]:
+            if not isinstance(x, str) and not x["drop"]:
+                walk(x, depth)
+
+    walk(Tree(page).root, 0)
+    by = {id(n): (s, w) for _, s, w, n in found}
+    best = max(found, key=lambda x: x[0])[3]
+    outer = best["of"]
+    while outer:
+        if id(outer) in by and by[id(outer)][0] - by[id(best)][0] > 0.5 * (by[id(outer)][1] - by[id(best)][1]):
+            best = outer
+        outer = outer["of"]
+    texts = (re.sub(r"\s+", " ", "".join(t for t, _ in b)).strip() for b in plain_text(best))
+    return "\n".join(t for t in texts if t)
+
+
+def test_sample_pages_against_the_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    for r in pages:
+        assert html_consensus.extract(r.html, None) == plain_extract(r.html)
+
+
+def test_paths_sent_and_joined_agree(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = lambda found: sorted(tuple(r) for r in found.collect())
+    assert rows(html_consensus.extract_pages(spark, df)) == rows(html_consensus.extract_pages(spark, df, most_sent=-1))
+
+
 def test_second_template_of_a_host(spark):
     first = [(i, "http://h/a", f"<body><div class=post><p>{'first ' * 100}</div></body>") for i in range(30)]
     second = [(40 + i, "http://h/b", f"<body><div class=post><p>tiny</div><div class=other><p>{'second ' * 500}</div></body>") for i in range(3)]
