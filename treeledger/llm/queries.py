@@ -68,11 +68,11 @@ ORACLE_SQL = {
     "op2_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
-            FROM pages WHERE page_id IS NOT NULL),
+            FROM pages),
         q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM p)
         SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM latest THEN latest END AS refers_to
         FROM q
     """,
     "op5_decontamination": r"""
@@ -104,33 +104,35 @@ ORACLE_SQL = {
     """,
     "op7_ngram_join": r"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
-            FROM documents WHERE doc_id IS NOT NULL),
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
         s AS (
-            SELECT doc_id, unnest(list_distinct(CASE
+            SELECT r, unnest(list_distinct(CASE
                 WHEN len(words) = 0 THEN []
                 WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
                 ELSE list_transform(generate_series(1, len(words) - 2), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS g
             FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
-        reach AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.seen)
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        pair AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        reach AS (SELECT r, r AS seen FROM w UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.seen)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-        FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+        FROM w LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.seen GROUP BY reach.r) c USING (r)
     """,
     "op10_chat_formatting": """
-        WITH numbered AS (
-            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position
-            FROM conversations WHERE conv_id IS NOT NULL),
-        lines AS (SELECT conv_id, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM numbered),
-        whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY position) AS rendered FROM lines GROUP BY conv_id),
+        WITH t AS (
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        numbered AS (
+            SELECT dense_rank() OVER (ORDER BY conv_id, own) AS c, conv_id, role, text,
+                   row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, md5(role || chr(10) || text)) AS position
+            FROM t),
+        lines AS (SELECT c, conv_id, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM numbered),
+        whole AS (SELECT c, any_value(conv_id) AS conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY position) AS rendered FROM lines GROUP BY c),
         proper AS (
-            SELECT DISTINCT a.conv_id, a.position AS n, string_agg(b.line, '' ORDER BY b.position) AS rendered
-            FROM lines a JOIN lines b ON a.conv_id = b.conv_id AND b.position <= a.position
-            JOIN whole w ON w.conv_id = a.conv_id AND a.position < w.n_turns
-            GROUP BY a.conv_id, a.position)
+            SELECT DISTINCT a.c, a.position AS n, string_agg(b.line, '' ORDER BY b.position) AS rendered
+            FROM lines a JOIN lines b ON a.c = b.c AND b.position <= a.position
+            JOIN whole w ON w.c = a.c AND a.position < w.n_turns
+            GROUP BY a.c, a.position)
         SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, length(rendered) AS n_chars, rendered
         FROM whole
         WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.n = whole.n_turns AND p.rendered = whole.rendered)

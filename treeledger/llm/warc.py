@@ -1,12 +1,12 @@
 """WARC archives with a Zstandard dictionary.
 
 Each archive is one file: a skippable frame that holds the dictionary, then one frame for each record. The dictionary is
-trained once from the first SAMPLE_BYTES of at most SAMPLE_ROWS of the records to be archived (those with the smallest key
-hashes; the archives themselves hold every record whole), and every archive
+trained once from at most SAMPLE_ROWS of the records to be archived (those with the smallest key hashes; the
+archives themselves hold every record whole): of each, WINDOWS windows of WINDOW_BYTES that are spread over the whole payload. Every archive
 embeds it, so each can be read by itself. A record whose payload is archived elsewhere is written as a revisit.
 
-Archives are written through `pyarrow.fs` under a folder that all executors share. A task writes to a name of its
-own attempt and moves the file to its partition's name when it is whole, so a retried task replaces what a lost one left.
+Archives are written through `pyarrow.fs` under a folder that all executors share, under names of the attempt that writes them. The
+list of archives is a table that Spark commits once all is written, so what a lost or speculative attempt left is in no list.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -25,25 +24,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import scratch_path
+from treeledger.llm.common import materialize, scratch_path
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, a dictionary's and a frame's first bytes.
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 
 SAMPLE_ROWS = 512
-SAMPLE_BYTES = 8_192
+WINDOWS, WINDOW_BYTES = 8, 1024
 DICTIONARY_BYTES = 65_536
 LEVEL = 6
 LEAST_REVISITED = 1000
-ROWS_AN_ARCHIVE = 5_000
+#: An archive is closed once its payloads reach this size.
+BYTES_AN_ARCHIVE = 256 << 20
 SALTS = 64
+#: Archives are read by at most so many tasks.
+READERS = 20_000
 
 
 @dataclass
 class Record:
     kind: str
-    page_id: int
+    page_id: int | None  # of a page without an id: none
     url: str
     payload: bytes
     n_bytes: int
@@ -64,7 +66,7 @@ def render(r: Record) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.n_bytes}\r\n\r\n".encode()
     block = http if r.kind == "revisit" else http + r.payload
     head = [
-        "WARC/1.1", f"WARC-Type: {r.kind}", f"WARC-Record-ID: <urn:page:{r.page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {r.kind}", f"WARC-Record-ID: <urn:page:{'' if r.page_id is None else r.page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {r.url}", f"WARC-Payload-Digest: sha1:{r.digest}",
     ]
     if r.kind == "revisit":
@@ -79,7 +81,7 @@ def parse(data: bytes) -> Record:
     named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(named["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda s: int(s[len("<urn:page:") : -1])
+    number = lambda s: int(s[len("<urn:page:") : -1]) if len(s) > len("<urn:page:>") else None
     stated = named["WARC-Payload-Digest"].removeprefix("sha1:")
     n = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.startswith(b"Content-Length:"))
     kind = named["WARC-Type"]
@@ -123,32 +125,54 @@ def read_archive(stream: io.RawIOBase) -> Iterator[Record]:
         yield parse(b"".join(parts))
 
 
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes and payload_digest of every row."""
+    url = F.coalesce("url", F.lit(""))
+    # Line breaks would end the header that holds the url.
+    url = F.replace(F.replace(url, F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D"))
+    rows = pages.select(F.col("page_id").cast("long"), url.alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    return rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+
+
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses).
+    """Payloads with refers_to (null for responses).
 
     Only digests and ids are shuffled to find the copies. The largest page_id of each digest is copied to every salt,
     so copies of one payload, however many, are spread over as many tasks.
     """
-    rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    rows = payloads(pages)
     large = rows.where(F.col("payload_bytes") >= LEAST_REVISITED)
-    latest = large.groupBy("payload_digest").agg(F.max("page_id").alias("latest"), F.min("page_id").alias("first")).where("first <> latest")
+    latest = large.groupBy("payload_digest").agg(F.max("page_id").alias("latest"), F.min("page_id").alias("first"), F.count("*").alias("n"), F.count("page_id").alias("named"))
+    latest = latest.where("first <> latest OR named BETWEEN 1 AND n - 1")
     latest = latest.select("payload_digest", "latest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = (
-        large.select("page_id", "payload_digest", F.pmod(F.hash("page_id"), F.lit(SALTS)).alias("salt"))
-        .join(latest, ["payload_digest", "salt"]).where("page_id <> latest").select("page_id", "payload_digest", F.col("latest").alias("refers_to")).distinct()
-    )
+    pair = lambda df: df.select(F.col("page_id").isNull().alias("nameless"), F.coalesce("page_id", F.lit(0)).alias("id"), "payload_digest")
+    copies = pair(large).withColumn("salt", F.pmod(F.hash("nameless", "id"), F.lit(SALTS))).join(latest, ["payload_digest", "salt"])
+    copies = copies.where("nameless OR id <> latest").select("nameless", "id", "payload_digest", F.col("latest").alias("refers_to")).distinct()
     # By digest too: rows that share a page_id may hold other payloads, which are no copies.
-    return rows.join(copies, ["page_id", "payload_digest"], "left")
+    keyed = rows.withColumns({"nameless": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0))})
+    return keyed.join(copies, ["nameless", "id", "payload_digest"], "left").select(*rows.columns, "refers_to")
+
+
+def sampled(pages: DataFrame) -> list[bytes]:
+    """Records of the windows that the dictionary is trained from."""
+    keyed = payloads(pages).withColumn("k", F.xxhash64("payload_digest", "url", "page_id"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring("payload", (i * F.col("payload_bytes") / WINDOWS).cast("int") + 1, F.lit(WINDOW_BYTES)))
+    # A page that is shorter than its windows together is taken as it is.
+    whole = F.array(F.substring("payload", 1, WINDOWS * WINDOW_BYTES))
+    parts = F.when(F.col("payload_bytes") <= WINDOWS * WINDOW_BYTES, whole).otherwise(parts)
+    # Keys first, as a sort would carry the payloads along.
+    keys = [r["k"] for r in keyed.select("k").orderBy("k").limit(SAMPLE_ROWS).collect()]
+    rows = keyed.where(F.col("k") <= (keys[-1] if keys else 0)).select("page_id", "url", parts.alias("parts")).limit(SAMPLE_ROWS).collect()
+    out = []
+    for r in rows:
+        first, *more = map(bytes, r["parts"])
+        out += [render(Record("response", r["page_id"], r["url"], first, len(first), hashlib.sha1(first).hexdigest(), None)), *more]
+    return out
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str, rows_an_archive: int = ROWS_AN_ARCHIVE) -> DataFrame:
-    """Write archives under `folder` and return one row for each: path, records."""
-    keyed = pages.where("page_id IS NOT NULL").withColumn("k", F.xxhash64("page_id"))
-    keys = [r["k"] for r in keyed.select("k").orderBy("k").limit(SAMPLE_ROWS).collect()]
-    sample = keyed.where(F.col("k") <= (keys[-1] if keys else 0)).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("part")).limit(SAMPLE_ROWS).collect()
-    records = [render(Record("response", r["page_id"] or 0, r["url"] or "", p := r["part"].encode(), len(p), hashlib.sha1(p).hexdigest(), None)) for r in sample]
-    dictionary = train(records)
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, bytes_an_archive: int = BYTES_AN_ARCHIVE) -> DataFrame:
+    """Write archives under `folder` and return the written list of them: path, records."""
+    dictionary = train(sampled(pages))
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -160,16 +184,21 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, rows_an_a
                 for r in b.to_pylist():
                     yield Record("response" if r["refers_to"] is None else "revisit", r["page_id"], r["url"], r["payload"], r["payload_bytes"], r["payload_digest"], r["refers_to"])
 
-        some = rows()
-        for k, first in enumerate(some):
-            path = f"{root}/archive-{task.partitionId():06d}-{k:04d}.warc.zst"
-            mine = f"{path}.{task.taskAttemptId()}.part"
-            with fs.open_output_stream(mine, compression=None) as out:
-                n = write_archive(out, chain([first], islice(some, rows_an_archive - 1)), dictionary)
-            fs.move(mine, path)
+        def some(first):
+            left, r = bytes_an_archive, first
+            while r is not None:
+                yield r
+                left -= r.n_bytes
+                r = next(every, None) if left > 0 else None
+
+        every = rows()
+        for k, first in enumerate(every):
+            path = f"{root}/archive-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}.warc.zst"
+            with fs.open_output_stream(path, compression=None) as out:
+                n = write_archive(out, some(first), dictionary)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
-    return planned(pages).mapInArrow(run, "path string, records long")
+    return materialize(spark, planned(pages).mapInArrow(run, "path string, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -197,14 +226,11 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write every page's record, read the archives back; returns what read_archives does.
 
-    Null html is an empty payload, a null url an empty one. Rows with a null page_id are left out: a record needs an
-    identity. Repeated rows are written as often as they occur; with an equal page_id neither refers to the other. Rows
-    of one page_id with different html are told apart by their payloads.
-    An empty table gives no rows. Line breaks in a url would end its header, so they are written as %0A and %0D.
+    Null html is an empty payload, a null url an empty one. A row with a null page_id has a record too, which names no page; it can
+    revisit a page but not be referred to. Repeated rows are written as often as they occur; with an equal page_id neither refers to the other. Rows
+    of one page_id with different html are told apart by their payloads. An empty table gives no rows. Line breaks in a url are written as %0A and %0D.
     Other columns are ignored. Archives stay under the shared folder.
     """
     folder = scratch_path(spark, "warc")
-    safe = pages.withColumn("url", F.replace(F.replace("url", F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D")))
-    written = write_archives(spark, safe, folder).collect()  # one row for each archive
-    listed = spark.createDataFrame([(r["path"], r["records"]) for r in written], "path string, records long")
-    return read_archives(listed.repartition(max(1, len(written))), folder)
+    written = write_archives(spark, pages, folder)
+    return read_archives(written.repartition(max(1, min(READERS, written.count()))), folder)
