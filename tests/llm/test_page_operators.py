@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treeledger.llm import chat, html_consensus, nearest, warc
@@ -257,30 +258,32 @@ def test_hosts_agree_on_a_path(spark):
 
 
 def plain_nearest(rows, k):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
-    for q, x in good:
-        if q % 20 == 0:
+    for n, q, x in good:
+        if q is not None and q % 20 == 0:
             scored = []
-            for i, y in good:
-                if i != q and len(y) == len(x):
+            for m, i, y in good:
+                if m != n and len(y) == len(x):
                     total = 0.0
                     for a, b in zip(x, y):
                         total += float(a) * float(b)
-                    scored.append((-total, i))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
-    return sorted(out)
+                    scored.append((-total, i is None, i or 0))
+            out += [(q, r + 1, None if no else i, -s) for r, (s, no, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=repr)
 
 
-def test_nearest_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group_bytes", [64 << 20, 5_000])
+def test_nearest_against_brute_force(spark, monkeypatch, group_bytes):
     monkeypatch.setattr(nearest, "CANDIDATE_ROWS", 64)
     monkeypatch.setattr(nearest, "QUERY_ROWS", 8)
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.float32(r.normal(size=16) * 10.0 ** r.integers(-3, 3))]) for i in range(400)]
     rows += [(1000 + i, rows[20][1]) for i in range(150)]  # ties
-    rows += [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [None] + [1.0] * 15), (2080, [float("nan")] * 16), (2100, [float("inf")] * 16), (2120, [1.0, 2.0]), (2121, [3.0, 1.0]), (None, [1.0] * 16)]
-    df = spark.createDataFrame([(*x, "b", 0) for x in rows + rows[:3]], "vec_id long, embedding array<float>, block string, stripe int")
-    got = sorted(tuple(x) for x in nearest.nearest(spark, df, F.col("vec_id") % 20 == 0, 20, stripes=3).collect())
+    rows += [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [None] + [1.0] * 15), (2080, [float("nan")] * 16), (2100, [float("inf")] * 16), (2120, [1.0, 2.0]), (2121, [3.0, 1.0]), (None, rows[40][1]), (None, rows[20][1])]
+    rows += rows[:3] + [(40, rows[7][1])]
+    df = spark.createDataFrame([(*x, "b", 0) for x in rows], "vec_id long, embedding array<float>, block string, row int")
+    got = sorted((tuple(x) for x in nearest.nearest(spark, df, F.col("vec_id") % 20 == 0, 20, group_bytes).collect()), key=repr)
     assert got == plain_nearest(rows, 20)
     assert nearest.nearest(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
