@@ -40,8 +40,38 @@ def test_rows_that_share_an_id_or_have_none(spark):
 # Sharding
 
 
-def test_longest_first():
-    assert sharding.longest_first([(5, 0), (5, 1), (4, 2), (3, 3), (3, 4)], 2) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
+def plain_longest_first(sizes, shards):
+    """Loads after each item, largest first, went to the least-loaded shard."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
+def test_longest_first_against_one_by_one():
+    r = random.Random(20)
+    for _ in range(200):
+        runs = {r.choice((1, 2, 3, 7, 50, 1000, r.randint(1, 5000))): r.choice((1, 2, 5, 40, 300)) for _ in range(r.randint(1, 8))}
+        shards = r.randint(1, 9)
+        taken = sharding.longest_first(list(runs.items()), shards)
+        assert {s: sum(t) for s, t in taken.items()} == runs
+        loads = [sum(s * t[k] for s, t in taken.items()) for k in range(shards)]
+        assert loads == plain_longest_first([s for s, n in runs.items() for _ in range(n)], shards)
+
+
+@pytest.mark.parametrize("settings", [{}, {"cell_rows": 7, "most_sent": 0}])
+def test_shards_are_those_of_longest_first(spark, settings):
+    r = random.Random(21)
+    docs = [(k if k % 5 else None, "w" * r.choice((1, 2, 3, 3, 3, 40)) + str(r.randint(0, 300))) for k in range(500)] + EDGE + [(7, "the same")] * 60
+    rows = sharding.shard_documents(spark, table(spark, docs), 5, **settings).collect()
+    groups = {}
+    for _, t in docs:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 1
+    loads = [sum(x.size for x in rows if x.shard == s) for s in range(5)]
+    assert loads == plain_longest_first(groups.values(), 5) and len(rows) == len(docs)
+    for s in range(5):
+        assert sorted(x.slot for x in rows if x.shard == s) == list(range(sum(x.shard == s for x in rows)))
+    assert len({(x.text_crc32, x.shard) for x in rows}) == len({x.text_crc32 for x in rows})
 
 
 def test_shards(spark):
@@ -97,12 +127,55 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
-    # Four small partitions with exchange come within a sequence of best-fit decreasing over all pieces at once.
     lengths = np.array(sorted((x.length for x in rows), reverse=True))
     assert packing.lower_bound(np.bincount(lengths, minlength=4097)) <= len(bins) <= len(packing.best_fit(lengths)[2]) + 1
     assert packing.pack_documents(spark, table(spark, []), TOKENS).count() == 0
 
 
+def numbered(spark, lengths):
+    """Pieces of these lengths, packed in partitions of 10."""
+    rows = [(k, 0, 0, n, k) for k, n in enumerate(lengths)]
+    return spark.createDataFrame(rows, packing.PIECES)
+
+
+@pytest.mark.parametrize("seed, settings", [(1, {}), (2, {"pool_rows": 30}), (3, {"fan": 2})])
+def test_exchange_until_certified(spark, monkeypatch, seed, settings):
+    """Partitions of ten pieces, which exchange until the whole is certified or has nothing left to exchange."""
+    r = random.Random(seed)
+    lengths = [r.choice((r.randint(1, 4096), r.randint(1, 300), 2048, 1365)) for _ in range(400)]
+    monkeypatch.setattr(packing, "pieces", lambda docs, tokenizer, capacity: numbered(spark, lengths))
+    packed = packing.pack_documents(spark, spark.range(1), "", rows_a_partition=10, **settings)
+    rows = packed.collect()
+    assert sorted(x.length for x in rows) == sorted(lengths)
+    bins = {}
+    for x in rows:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for held in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(held), sorted(held)[1:])) and sum(n for _, n in held) <= 4096 and min(held)[0] == 0
+    found = packing.certificate(packed)
+    assert found["sequences"] == len(bins) and found["gap"] >= 0
+    whole = len(packing.best_fit(np.array(sorted(lengths, reverse=True)))[2])
+    assert found["gap"] == 0 or len(bins) <= whole + (3 if settings.get("pool_rows") else 0)
+
+
+def test_certified_partitions_are_left_alone(spark, monkeypatch):
+    """Pieces over half of a sequence fill one each: bounds say so, and nothing is exchanged."""
+    monkeypatch.setattr(packing, "pieces", lambda docs, tokenizer, capacity: numbered(spark, [3000] * 50))
+    monkeypatch.setattr(packing, "_exchanged", None)
+    packed = packing.pack_documents(spark, spark.range(1), "", rows_a_partition=10)
+    assert packing.certificate(packed) == {"sequences": 50, "bound": 50, "gap": 0}
+
+
+def test_other_tokenizers_are_not_imitated(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2, "b</w>": 3}, merges=[("a", "b")]))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "t.json"))
+    e = packing.WordEncoder(str(tmp_path / "t.json"))
+    assert not e.known and e.ids("ab a") == np.array(made.encode("ab a").ids, "<u4").tobytes() and packing.WordEncoder(TOKENS).known
+
+
 def test_bounds_are_bounds():
     r = random.Random(4)
     for _ in range(200):

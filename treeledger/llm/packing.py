@@ -1,15 +1,19 @@
 """Best-fit packing of tokenised documents with certified bin counts.
 
 Documents become pieces of at most `capacity` tokens. Pieces are dealt evenly to partitions of a bounded number of
-rows; each partition runs best-fit decreasing and compares its bin count with a lower bound from dual feasible
-functions, which certifies it when they meet. While the whole has more sequences than the global bound, bins that are
-not well filled give their pieces to a common pool, the pool is dealt out anew (so pieces change partition), best-fit
-decreasing runs again in fewer partitions, and the new packing of the pool is kept if it has fewer sequences. A
-partition never holds more than ROWS_A_PARTITION * 2^ROUNDS rows of a few numbers each.
+rows, and each runs best-fit decreasing. A lower bound from dual feasible functions certifies a partition's bin count when the two
+meet. Partitions are then joined into groups of FAN, these into groups of FAN groups, and so on: at each level a group is certified when its bins
+together meet the bound of all its pieces. A group with a gap exchanges documents: the pieces of its loose bins (those not well
+filled) go to one task, best-fit decreasing runs again over them, and the new packing stays if it has fewer bins. Certified groups are left alone. It
+ends when the whole meets its bound, or when the last group, which is the whole, has exchanged all that is not full.
+
+Bounds come from counts of lengths, which add up from level to level, so the pieces themselves are read once, and afterwards the
+loose ones only. No task holds more than POOL_ROWS rows of a few numbers each: larger pools are dealt, whole bins at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,16 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize
+from treeledger.llm.common import discard, materialize
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_A_PARTITION = 20_000
-ROUNDS = 4
+POOL_ROWS = 1_000_000
+FAN = 16
 WELL_FILLED = 0.995
 WORDS_KEPT = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, loose boolean, bound long"
+PACKED = PIECES + ", sequence_id long, offset long, part long, fill long"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -43,6 +48,17 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
+#: The part of a tokenizer's description that _WORDS and _PLAIN stand for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from U+0100 on.
 _PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
@@ -73,13 +89,16 @@ class WordEncoder:
     The tokenizer never joins characters over white space, and cuts what lies between into words (letters, a digit, other characters)
     within which it merges, so a text's ids are those of its words in turn. New words are encoded together by the merges
     alone; each word's last id, and no other, carries the end-of-word mark, which tells them apart. A text with other
-    characters than _PLAIN, or with the start of a special token, is encoded by the tokenizer as a whole.
+    characters than _PLAIN, or with the start of a special token, is encoded by the tokenizer as a whole, and so is every text where
+    the tokenizer is described in another way than this rests on.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.known = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and all(told["model"].get(k) == v for k, v in _MODEL.items()) and told["post_processor"] is None and all(t["content"].startswith("<|") for t in told["added_tokens"])
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
@@ -112,7 +131,7 @@ class WordEncoder:
             self.runs.young.update((r, b"".join(map(get, c))) for r, c in zip(some, cut, strict=True))
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.known or "<|" in text or not _PLAIN.fullmatch(text):
             return self._encode(text).tobytes()
         runs = text.lower().split()
         if new := self.runs.missing(set(runs)):
@@ -191,58 +210,126 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _pack(rows: DataFrame, number: int, first: int, capacity: int) -> DataFrame:
-    """Best-fit decreasing within `number` even partitions; sequence ids are unique over partitions from `first` on."""
+def _repacked(pdf: pd.DataFrame, capacity: int) -> tuple[pd.DataFrame, np.ndarray, int]:
+    """Pieces in the order of best-fit decreasing, with offset and fill set, their bins, and the number of bins."""
+    pdf = pdf.sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable")
+    bins, offsets, fill = best_fit(pdf["length"].to_numpy(), capacity)
+    pdf["offset"], pdf["fill"] = offsets, fill[bins]
+    return pdf, bins, len(fill)
+
+
+def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(pdf), 10_000):
+        yield pdf.iloc[at : at + 10_000]
+
+
+def _packed(rows: DataFrame, number: int, capacity: int) -> DataFrame:
+    """Best-fit decreasing within `number` even partitions."""
 
     def run(batches):
-        got = list(batches)
-        if not got or not (n := sum(map(len, got))):
-            return
-        pdf = pd.concat(got, ignore_index=True).sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable")
-        length = pdf["length"].to_numpy()
-        bins, offsets, fill = best_fit(length, capacity)
-        bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
-        part = first + TaskContext.get().partitionId()
-        pdf["sequence_id"], pdf["offset"], pdf["loose"], pdf["bound"] = (part << 32) + bins, offsets, (fill < WELL_FILLED * capacity)[bins], bound
-        for at in range(0, n, 10_000):
-            yield pdf.iloc[at : at + 10_000]
+        got = [b for b in batches if len(b)]
+        if got:
+            pdf, bins, _ = _repacked(pd.concat(got, ignore_index=True), capacity)
+            part = TaskContext.get().partitionId()
+            pdf["sequence_id"], pdf["part"] = (part << 32) + bins, part
+            yield from _slices(pdf[[c.split()[0] for c in PACKED.split(", ")]])
 
     return rows.repartition(number).mapInPandas(run, PACKED)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rows_a_partition: int = ROWS_A_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, of rows ordered by it."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        for _, rows in b.groupby(keys, sort=False):
+            if held and any(held[0][k].iloc[0] != rows[k].iloc[0] for k in keys):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _bounds(lengths: DataFrame, capacity: int) -> DataFrame:
+    """team and bound, from team, length and n."""
+
+    def run(batches):
+        for rows in _runs(batches, ["team"]):
+            counts = np.bincount(rows["length"], rows["n"], capacity + 1).astype(np.int64)
+            yield pd.DataFrame({"team": [rows["team"].iloc[0]], "bound": [lower_bound(counts, capacity)]})
+
+    return lengths.repartition("team").sortWithinPartitions("team").mapInPandas(run, "team long, bound long")
+
+
+def _exchanged(pool: DataFrame, teams: DataFrame, capacity: int) -> DataFrame:
+    """The pool's pieces packed anew within each team (team, tasks), where that takes fewer bins. Whole bins are dealt to the tasks of a team."""
+    columns = [c.split()[0] for c in PACKED.split(", ")]
+    rows = pool.join(teams, "team").withColumn("task", F.pmod(F.xxhash64("sequence_id"), F.col("tasks")))
+
+    def run(batches):
+        for held in _runs(batches, ["team", "task"]):
+            old = np.unique(held["sequence_id"])
+            fresh, bins, n = _repacked(held, capacity)
+            if n < len(old):
+                fresh["sequence_id"] = old[:n][bins]
+                yield from _slices(fresh[columns])
+            else:
+                yield from _slices(held[columns])
+
+    return rows.repartition("team", "task").sortWithinPartitions("team", "task").mapInPandas(run, PACKED)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """Sequences of a packing, the least number that its pieces need by the bound, and the gap between the two."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # at most `capacity` rows
+        counts[r["length"]] = r["count"]
+    n, bound = packed.where("offset = 0").count(), lower_bound(counts, capacity)
+    return {"sequences": n, "bound": bound, "gap": n - bound}
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rows_a_partition: int = ROWS_A_PARTITION, fan: int = FAN, pool_rows: int = POOL_ROWS) -> DataFrame:
     """Pack every document; returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds the end id only. Repeated rows are packed as often as they occur. A
     null doc_id stays null. An empty table gives no rows. Other columns are ignored. Texts of any length are encoded
     whole and cut into full pieces, of which only the last may be shorter.
     """
+    result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     cutted = materialize(spark, pieces(docs, tokenizer, capacity), "pieces")
-    lengths = cutted.groupBy("length").count().collect()  # at most `capacity` rows
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in lengths:
-        counts[r["length"]] = r["count"]
-    bound, rows = lower_bound(counts, capacity), int(counts.sum())
-    number = max(1, -(-rows // rows_a_partition))
-    packed = materialize(spark, _pack(cutted, number, 0, capacity), "packed")
-    size = lambda df: df.select(F.count_distinct("sequence_id")).first()[0]
-    total, first, kept, pool = size(packed), number, [packed], packed
-    for turn in range(1, rounds + 1):
-        loose = pool.where("loose")
-        n = 0 if total <= bound else loose.count()
-        if n == 0:
-            break
-        # Each turn the pool's partitions may hold twice the rows: fewer partitions leave fewer sequences open.
-        held, number = size(loose), max(1, -(-n // (rows_a_partition << turn)))
-        again = materialize(spark, _pack(loose.drop("sequence_id", "offset", "loose", "bound"), number, first, capacity), "repacked")
-        first += number
-        if (fresh := size(again)) < held:
-            kept[-1] = pool.where("not loose")
-            kept.append(again)
-            pool, total = again, total - held + fresh
-        elif number == 1:
-            break
-    out = kept[0]
-    for more in kept[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    number = max(1, -(-cutted.count() // rows_a_partition))
+    packed = materialize(spark, _packed(cutted, number, capacity), "packed")
+    discard(spark, cutted)
+    state = certificate(packed, capacity)
+    if not state["gap"]:
+        return packed.select(*result)
+    loose = F.col("fill") < WELL_FILLED * capacity
+    settled, pool = packed.where(~loose), packed.where(loose)
+    lengths = materialize(spark, packed.groupBy(F.col("part").alias("team"), "length").agg(F.count("*").alias("n")), "lengths")
+    full = materialize(spark, settled.where("offset = 0").groupBy(F.col("part").alias("team")).agg(F.count("*").alias("bins")), "full-bins")
+    total, teams = state["sequences"], number
+
+    def exchange(pool: DataFrame, lengths: DataFrame, full: DataFrame, size: int) -> tuple[DataFrame, int]:
+        """The pool after an exchange in the teams of `size` partitions that have a gap, and how many bins that saved."""
+        own = pool.withColumn("team", F.floor(F.col("part") / size).cast("long"))
+        open_ = own.groupBy("team").agg(F.count_if(F.col("offset") == 0).alias("open"), F.count("*").alias("rows")).join(full, "team", "left")
+        gaps = open_.join(_bounds(lengths, capacity), "team").where(F.col("open") + F.coalesce("bins", F.lit(0)) > F.col("bound"))
+        gaps = materialize(spark, gaps.select("team", F.ceil(F.col("rows") / pool_rows).cast("long").alias("tasks")), "gaps")
+        fresh = _exchanged(own, gaps, capacity).unionByName(own.join(gaps, "team", "left_anti").drop("team"))
+        fresh = materialize(spark, fresh, "exchanged")
+        return fresh, pool.where("offset = 0").count() - fresh.where("offset = 0").count()
+
+    size = 1
+    while total > state["bound"] and teams > 1:
+        size, teams = size * fan, -(-teams // fan)
+        merge = lambda df, n: materialize(spark, df.groupBy(F.floor(F.col("team") / fan).cast("long").alias("team"), *([] if n == "bins" else ["length"])).agg(F.sum(n).alias(n)), n)
+        lengths, full = merge(lengths, "n"), merge(full, "bins")
+        pool, saved = exchange(pool, lengths, full, size)
+        total -= saved
+    if total > state["bound"]:
+        # The whole has a gap: once more with every bin that is not full.
+        every = settled.unionByName(pool)
+        settled, pool = every.where(F.col("fill") >= capacity), every.where(F.col("fill") < capacity)
+        full = settled.where("offset = 0").groupBy(F.lit(0).cast("long").alias("team")).agg(F.count("*").alias("bins"))
+        pool, saved = exchange(pool, lengths.groupBy(F.lit(0).cast("long").alias("team"), "length").agg(F.sum("n").alias("n")), full, size)
+    return settled.unionByName(pool).select(*result)
