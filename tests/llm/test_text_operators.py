@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from treeledger.llm import decontam, ngram_join, packing, pii, sharding, toxicity
@@ -293,39 +294,59 @@ def test_signatures_are_shared_by_linked_sets():
 
 
 def plain_overlaps(docs, items):
-    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    found = set()
+    """{(document, item): best (window, matches, -start)} over every alignment."""
+    unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+    cut = lambda t: regex.findall(r"[\p{L}\p{N}]+", regex.sub(unspaced, r" \1 ", (t or "").lower()))
+    found = {}
     for d, t in docs:
         w = cut(t)
         for i, x in items:
             v = cut(x)
             size = min(13, len(v))
-            need = 11 if len(v) >= 13 else len(v)
+            need = 11 if len(v) >= 13 else len(v) - 1 if len(v) >= 8 else len(v)
             if len(v) < 5:
                 continue
             for s in range(1 - len(v), len(w)):
                 agree = [0 <= s + k < len(w) and w[s + k] == v[k] for k in range(len(v))]
-                if any(sum(agree[k : k + size]) >= need for k in range(len(v) - size + 1)):
-                    found.add((d, i))
+                best = max(sum(agree[k : k + size]) for k in range(len(v) - size + 1))
+                if best >= need:
+                    found[d, i] = max(found.get((d, i), (0,)), (best, sum(agree), -s))
     return found
 
 
-def test_overlaps_against_every_alignment(spark):
+@pytest.mark.parametrize("settings", [{}, {"chunk": 20, "most_sent": 0}])
+def test_overlaps_against_every_alignment(spark, settings):
     r = random.Random(6)
-    items = [(1, words(r, 30)), (2, words(r, 13)), (3, "six short words to be found"), (4, "too short"), (5, None), (6, words(r, 30))]
+    items = [(1, words(r, 30)), (2, words(r, 13)), (3, "six short words to be found"), (4, "too short"), (5, None), (6, words(r, 30)), (7, words(r, 9)), (8, words(r, 12)), (9, "the same same same same same same same same same same same same same"), (10, "東京都は日本の首都です。人口"), (None, words(r, 14))]
     docs = list(EDGE)
-    for k in range(40):
-        i, x = items[r.choice((0, 1, 2, 5))]
-        v = x.split()[r.choice((0, 0, 3)) :]
-        for _ in range(r.choice((0, 1, 2, 3, 6))):
-            v[r.randrange(len(v))] = "changed"
-        docs.append((100 + k, " ".join([*words(r, r.randint(0, 20)).split(), *v, *words(r, r.randint(0, 20)).split()])))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.overlaps(spark, table(spark, docs), bench, chunk=20).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == plain_overlaps(docs, items) and len(got) == len({(x.doc_id, x.item_id) for x in got})
-    assert decontam.overlaps(spark, table(spark, docs), bench.limit(0)).count() == 0 and decontam.overlaps(spark, table(spark, []), bench).count() == 0
-    kept = decontam.clean(spark, table(spark, docs + [(None, items[0][1])]), bench)
-    assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in plain_overlaps(docs, items)} | {None}
+    for k in range(160):
+        i, x = items[r.choice((0, 1, 2, 5, 6, 6, 7, 7, 8, 9, 10))]
+        v = list(x) if i == 10 else x.split()[r.choice((0, 0, 1, 3)) :][: r.choice((99, 99, -1))]
+        for _ in range(r.choice((0, 1, 1, 2, 3, 6))):
+            v[r.randrange(len(v))] = "changed" if i != 10 else "変"
+        docs.append((100 + k, " ".join([*words(r, r.choice((0, 0, 9, 20))).split(), ("" if i == 10 else " ").join(v), *words(r, r.choice((0, 0, 9, 20))).split()])))
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    want = plain_overlaps(docs, items)
+    got = decontam.overlaps(spark, table(spark, docs), bench, **settings).collect()
+    assert {(x.doc_id, x.item_id): (x.best_window, x.matched, -x.doc_start) for x in got} == want and len(got) == len(want)
+    kept = decontam.clean(spark, table(spark, docs + [(None, items[0][1]), (None, "fine"), (100, "another text of this id")]), bench)
+    gone = {d for d, _ in want}
+    stay = [(d, t) for d, t in docs if d not in gone] + [(None, "fine"), (100, "another text of this id")]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(stay, key=repr)
+
+
+def test_overlaps_of_empty_tables(spark):
+    bench = spark.createDataFrame([(1, "some words of an item to look for in texts")], "item_id long, text string")
+    assert decontam.overlaps(spark, table(spark, EDGE), bench.limit(0)).count() == 0 and decontam.overlaps(spark, table(spark, []), bench).count() == 0
+    assert decontam.clean(spark, table(spark, EDGE), bench.limit(0)).count() == len(EDGE)
+
+
+def test_a_very_long_item(spark):
+    r = random.Random(16)
+    text = " ".join(f"w{r.randint(0, 5000)}" for _ in range(50_000))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = decontam.overlaps(spark, table(spark, [(1, "before " + text), (2, "other words")]), bench).collect()
+    assert [(x.doc_id, x.doc_start, x.matched) for x in got] == [(1, 1, 50_000)]
 
 
 # Personal data

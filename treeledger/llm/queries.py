@@ -76,20 +76,25 @@ ORACLE_SQL = {
         FROM q
     """,
     "op5_decontamination": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-        dt AS (SELECT DISTINCT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
-        it AS (SELECT DISTINCT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM i WHERE len(w) >= 5),
+        WITH words AS (SELECT 1 AS benchmark, item_id AS id, text FROM benchmark UNION SELECT 0, doc_id, text FROM documents),
+        t AS (
+            SELECT benchmark, id, text,
+                   regexp_extract_all(regexp_replace(lower(text), '([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w
+            FROM words),
+        d AS (SELECT row_number() OVER () AS d, id AS doc_id, w FROM t WHERE benchmark = 0),
+        i AS (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT DISTINCT id AS item_id, w FROM t WHERE benchmark = 1 AND len(w) >= 5)),
+        dt AS (SELECT d, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
+        it AS (SELECT i, len(w) AS n, CASE WHEN len(w) >= 13 THEN 11 WHEN len(w) >= 8 THEN len(w) - 1 ELSE len(w) END AS need, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM i),
         agree AS (
-            SELECT doc_id, item_id, n, it.p AS p, dt.p - it.p AS s FROM dt JOIN it USING (t)
-            QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, n, dt.p - it.p) >= least(11, n)),
+            SELECT d, i, n, need, it.p AS p, dt.p - it.p AS s FROM dt JOIN it USING (t)
+            QUALIFY count(*) OVER (PARTITION BY d, i, dt.p - it.p) >= need),
         windows AS (
-            SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, n, s ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k,
-                   count(*) OVER (PARTITION BY doc_id, item_id, n, s) AS m
+            SELECT *, count(*) OVER (PARTITION BY d, i, s ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k,
+                   count(*) OVER (PARTITION BY d, i, s) AS m
             FROM agree),
-        diagonals AS (SELECT doc_id, item_id, n, s, max(k) AS k, max(m) AS m FROM windows GROUP BY ALL HAVING max(k) >= CASE WHEN n >= 13 THEN 11 ELSE n END)
-        SELECT doc_id, item_id, s AS doc_start, m AS matched, n AS item_tokens, k AS best_window FROM diagonals
-        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, n ORDER BY k DESC, m DESC, s) = 1
+        diagonals AS (SELECT d, i, n, s, max(k) AS k, max(m) AS m FROM windows GROUP BY d, i, n, s, need HAVING max(k) >= need)
+        SELECT doc_id, item_id, s AS doc_start, m AS matched, n AS item_tokens, k AS best_window FROM diagonals JOIN d USING (d) JOIN i USING (i)
+        QUALIFY row_number() OVER (PARTITION BY d, i ORDER BY k DESC, m DESC, s) = 1
     """,
     "op6_nearest_neighbours": """
         WITH good AS (
