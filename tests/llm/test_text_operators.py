@@ -1,9 +1,11 @@
 """Each operator against a plain version on small tables that hold nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -396,9 +398,48 @@ def test_folding_and_exceptions():
     terms = tuple(toxicity.TERMS) + ("lowei*",)
     found = lambda t: [terms[i] for i in toxicity.matches(toxicity.fold(t), terms)]
     for t in ("You 1d10t", "ІDІОT", "id​iot", "Idiots!", "idiot$$$", "ï̈diót"):
-        assert "idiot" in found(t), t
+        assert "idiot*" in found(t), t
     assert found("trash can") == [] and found("trash can trash") == ["trash"]
-    assert found("loweiisch") == ["lowei*"] and found("blowei") == [] and found("") == [] and found("a 42 idiotsyncrasy") == []
+    assert found("loweiisch") == ["lowei*"] and found("blowei") == [] and found("") == [] and found("a 42 losersyncrasy") == []
+
+
+def plain_matches(folded, terms):
+    """Every term at every place, whole words or beginnings, unless some exception phrase around it holds it."""
+    same = lambda piece, form: len(piece) == len(form) and all(a == b or a == "1" and b in "il" for a, b in zip(piece, form))
+    at = lambda form: [k for k in range(len(folded)) if same(folded[k : k + len(form)], form)]
+    spared = [(k, k + len(p) + 2) for e in toxicity.EXCEPTIONS for p in (e, e + "s") for k in at(f" {p} ")]
+    out = []
+    for i, t in enumerate(terms):
+        for form in [f" {t[:-1]}"] if t[-1] == "*" else [f" {t} ", f" {t}s ", f" {t}es "]:
+            out += [i for k in at(form) if not any(a <= k and k + len(form) <= b for a, b in spared)]
+    return sorted(out)
+
+
+def test_matches_against_every_place():
+    terms = (*toxicity.TERMS, "lowei*")
+    r = random.Random(18)
+    bits = ["trash", "can", "tr4sh", "kill", "ki11", "time", "sick", "pay", "leave", "idiots", "1d10t", "loweix", "guinea", "pig", "fool", "s", "gold", "proof", "word", "hijo", "de", "puta", "class", "clown", "clowns", "fucking"]
+    for _ in range(150):
+        folded = toxicity.fold(" ".join(r.choice(bits) for _ in range(r.randint(0, 14))))
+        assert sorted(toxicity.matches(folded, terms)) == plain_matches(folded, terms), folded
+    began = time.monotonic()
+    assert len(toxicity.matches(toxicity.fold("trash can idiot " * 100_000), terms)) == 100_000 and time.monotonic() - began < 30
+
+
+def test_plain_insults_in_several_languages():
+    terms = tuple(toxicity.TERMS)
+    for t in ("you fucking bastard", "what an a s s h o l e", "du Arschloch", "espèce de connard", "eres un gilipollas", "che stronzo", "st\u00fapid!", "hijo de puta", "f.u.c.k"):
+        assert toxicity.matches(toxicity.fold(t), terms), t
+    for t in ("a normal sentence about trash cans and class", "I like it", "a b c d e f g", "the assistant passed the class"):
+        assert not [i for i in toxicity.matches(toxicity.fold(t), terms) if terms[i] not in toxicity.MILD], t
+
+
+def test_chances_are_binomial():
+    for n, share in ((5, 0.25), (30, 0.1), (200, 0.4)):
+        whole = [math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+        for k in range(n + 1):
+            if k > n * share:
+                assert abs(toxicity.chance(k, n, share) - sum(whole[k:])) < 1e-9
 
 
 def test_signs_that_stand_for_two_letters():

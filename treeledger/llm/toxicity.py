@@ -15,7 +15,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +28,31 @@ from pyspark.sql import functions as F
 from treeledger.llm.common import materialize
 
 SAMPLE_ROWS = 20_000
-MOST_CANDIDATES = 20_000
-MOST_FOUND = 500
+#: Preceding words are counted up to so many in each partition; learning asks for no more.
 MOST_BEFORE = 20
-#: A term is learned when its log odds are at least LEAST_ODDS, SURE standard errors below their estimate.
-SURE, LEAST_ODDS = 3.0, 1.0
+#: A term is learned when it is surely (but for this chance) LEAST_RATIO times as frequent in toxic texts as in clean ones.
+CHANCE, LEAST_RATIO = 0.001, 2.7
 BEGIN = (4, 7)
-PRIOR_WEIGHT = 2.0
+PRIOR_WEIGHT, STRONG_WEIGHT = 2.0, 3.0
 
-#: Terms known to insult, and phrases in which they do not.
+#: Terms known to insult (those with a star are beginnings), those among them that do so in any context, and phrases in which they do not.
 TERMS = """
-arrogant bastard bitch bloody clown coward crap creep cretin damn dickhead disgusting dumb dumbass fool freak garbage
-hate idiot idiotic ignorant imbecile jackass jerk kill lame liar loser lowlife lunatic maggot moron moronic nasty
-parasite pathetic pig prick psycho retard retarded rotten scum scumbag shit shut sick slut stupid stupidity suck sucker
-swine thug trash trashy ugly useless vermin vile weirdo whore worthless
-arschloch blod dreckig dummkopf ekelhaft idioten schwein abschaum versager
-cretino estupido imbecil inutil asqueroso basura idiota
-abruti connard degoutant salaud stupide ordure
-""".split()
+arrogant arsehole asshole bastard bitch blockhead bloody bollocks bullshit clown coward crap creep cretin cunt damn degenerate dickhead dimwit disgusting
+douchebag dumb dumbass dunce faggot* fool freak fuck* garbage halfwit hate idiot* ignorant imbecile jackass jerk kill lame liar loser lowlife lunatic
+maggot moron* motherfuck* nasty nigger* nitwit numbskull parasite pathetic pervert pig prick psycho retard* rotten scum scumbag shit shithead shut
+sick simpleton slut stupid* suck sucker swine thug trash trashy twat ugly useless vermin vile wanker weirdo whore worthless
+abschaum arschloch blod blodmann depp dreckig drecksau dummkopf ekelhaft fotze hurensohn missgeburt miststuck scheiss* schlampe schwachkopf schwein
+schweinehund trottel versager vollidiot wichser
+abruti batard connard connasse debile degoutant encule merde ordure putain pute salaud salope
+asqueroso basura cabron estupido gilipollas hijo de puta imbecil inutil maricon mierda pendejo puta puto subnormal
+bastardo cazzo coglione cretino merda puttana scemo stronzo vaffanculo caralho filho da puta otario
+hoer klootzak kut chuj debil dupek kurwa skurwysyn cyka
+"""
+PHRASES = ("hijo de puta", "filho da puta")
+TERMS = [*dict.fromkeys([*PHRASES, *(t for t in TERMS.replace(PHRASES[0], "").replace(PHRASES[1], "").split())])]
 #: Terms that also have everyday senses; without labels that speak for them they weigh nothing.
-MILD = "arrogant bloody coward creep damn freak hate ignorant kill lame liar lunatic nasty parasite pig psycho rotten shut sick suck swine thug ugly useless vermin vile basura inutil ordure".split()
+MILD = "arrogant bloody coward creep damn depp freak hate ignorant kill kut lame liar lunatic nasty parasite pig psycho rotten shut sick suck swine thug ugly useless vermin vile basura inutil ordure schwein".split()
+STRONG = "asshole arsehole arschloch bitch connard cunt encule faggot* fotze fuck* gilipollas hijo de puta hurensohn klootzak kurwa motherfuck* nigger* retard* salope stronzo vaffanculo whore wichser".replace(PHRASES[0], "").split() + [PHRASES[0]]
 EXCEPTIONS = """
 trash can|trash bin|trash bag|trash collection|garbage can|garbage truck|garbage collection|garbage collector|clown fish|class clown|
 clown school|sore loser|fool proof|april fool|guinea pig|kill switch|kill time|rotten tomatoes|stupid simple|sick leave|sick pay|
@@ -65,6 +73,8 @@ _EITHER = str.maketrans(LETTERS, EITHER * 2)
 INVISIBLE = "­​‌‍⁠﻿"
 
 _SIGNS = re.compile(r"[@$!|€]{2,}|[@$!|€](?![^\W\d_])|(?<![\w@$!|€])[0-9]+(?![\w@$!|€])")
+#: Single letters with one sign between each two are one word.
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .*_-][^\W_]){2,}(?![^\W_])")
 _cached: dict[tuple, object] = {}
 
 
@@ -85,8 +95,9 @@ def folding() -> dict[int, str]:
 
 
 def fold(text: str) -> str:
-    """Folded words between single or several spaces, with one at either end. Signs and numbers that do not touch a letter stand for nothing."""
-    return " " + _SIGNS.sub(" ", text.lower()).translate(folding()) + " "
+    """Folded words between single or several spaces, with one at either end. Signs and numbers that do not touch a letter stand for nothing; spaced-out words are closed up."""
+    lower = _SPACED.sub(lambda m: m[0][::2], text.lower())
+    return " " + _SIGNS.sub(" ", lower).translate(folding()) + " "
 
 
 def automaton(terms: tuple[str, ...]):
@@ -98,8 +109,8 @@ def automaton(terms: tuple[str, ...]):
         for i, t in enumerate(terms):
             for form in [f" {t[:-1]}"] if t[-1] == "*" else [f" {t} ", f" {t}s ", f" {t}es "]:
                 forms.setdefault(form.translate(_EITHER), []).append((i, form))
-        for p in EXCEPTIONS:
-            forms.setdefault(f" {p} ".translate(_EITHER), []).append((-1, f" {p} "))
+        for form in (f" {p}{ending} " for p in EXCEPTIONS for ending in ("", "s")):
+            forms.setdefault(form.translate(_EITHER), []).append((-1, form))
         made = ahocorasick.Automaton()
         for form, held in forms.items():
             made.add_word(form, held)
@@ -116,8 +127,13 @@ def spelt(piece: str, form: str) -> bool:
 def matches(folded: str, terms: tuple[str, ...]) -> list[int]:
     """Numbers of the terms that occur, as often as they do, outside exception phrases."""
     found = [(end, i, len(form)) for end, held in automaton(terms).iter(folded.translate(_EITHER)) for i, form in held if spelt(folded[end - len(form) + 1 : end + 1], form)]
-    spared = [(end - n + 1, end) for end, i, n in found if i < 0]
-    return [i for end, i, n in found if i >= 0 and not any(a <= end - n + 1 and end <= b for a, b in spared)]
+    spared = sorted((end - n + 1, end) for end, i, n in found if i < 0)
+    if not spared:
+        return [i for _, i, _ in found]
+    starts, furthest = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    # A match lies in a phrase when one that starts no later than it ends no earlier.
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and furthest[k - 1] >= b
+    return [i for end, i, n in found if i >= 0 and not inside(end - n + 1, end)]
 
 
 def measures(weight: float, words: int) -> tuple[float, float]:
@@ -168,32 +184,47 @@ def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return sample.mapInArrow(run, "affix string, n long, before array<string>").groupBy("affix").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
 
 
-def least_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    """A lower confidence bound of the log ratio of a term's rates in toxic and in clean texts."""
-    a, b = toxic + 0.5, clean + 0.5
-    return math.log(a / (all_toxic + 1)) - math.log(b / (all_clean + 1)) - SURE * math.sqrt(1 / a + 1 / b)
+def chance(toxic: int, n: int, share: float) -> float:
+    """The chance of at least `toxic` of `n` texts being toxic when each is with probability `share` (1 where that many are expected)."""
+    if toxic <= n * share:
+        return 1.0
+    log = math.lgamma(n + 1) - math.lgamma(toxic + 1) - math.lgamma(n - toxic + 1) + toxic * math.log(share) + (n - toxic) * math.log1p(-share)
+    term = total = math.exp(log)
+    for k in range(toxic, n):
+        # Beyond the mean, terms fall; those that add nothing to the sum end it.
+        term *= (n - k) / (k + 1) * share / (1 - share)
+        total += term
+        if term < total * 1e-9:
+            break
+    return total
 
 
 def found_terms(sample: DataFrame) -> list[str]:
-    """Words and word beginnings outside the lexicon that the sample shows surely more often in toxic texts, those in most of them first."""
+    """Words and word beginnings outside the lexicon that the sample shows surely more often in toxic texts, the surest first.
+
+    The test is exact for samples of any size. What is collected is bounded by the sample.
+    """
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     sizes = kinds.get(True, 0), kinds.get(False, 0)
-    # What fewer texts hold cannot pass the test below, even if no clean one holds it.
-    fewest = next((n for n in range(1, sizes[0] + 1) if least_odds(n, 0, *sizes) >= LEAST_ODDS), None)
-    if fewest is None:
+    if not all(sizes):
         return []
+    # The share of toxic texts among those that hold a term which is LEAST_RATIO times as frequent there.
+    share = LEAST_RATIO * sizes[0] / (LEAST_RATIO * sizes[0] + sizes[1])
+    # What fewer texts hold cannot pass, even if no clean one holds it.
+    fewest = math.ceil(math.log(CHANCE) / math.log(share))
     enough = (F.col("n") >= fewest) & (F.col("before") >= 0.6 * F.least("n", F.lit(MOST_BEFORE)))
-    toxic = {r["affix"]: r["n"] for r in _counted(sample.where("toxic"), None).where(enough).orderBy(F.desc("n"), "affix").limit(MOST_CANDIDATES).collect()}
+    toxic = {r["affix"]: r["n"] for r in _counted(sample.where("toxic"), None).where(enough).collect()}
     clean = {r["affix"]: r["n"] for r in _counted(sample.where("not toxic"), frozenset(toxic)).collect()}
     known = {f for t in TERMS for f in (t, t + "s", t + "es")}
-    odds = {w: least_odds(n, clean.get(w, 0), *sizes) for w, n in toxic.items()}
+    rate = {w: (n + 0.5) / (clean.get(w, 0) + 0.5) for w, n in toxic.items()}
+    odds = {w: chance(n, n + clean.get(w, 0), share) for w, n in toxic.items()}
     found: list[str] = []
-    # The surest of a word and its beginnings stays.
-    for w in sorted((w for w in odds if odds[w] >= LEAST_ODDS), key=lambda w: (-odds[w], len(w), w)):
-        of_known = w in known or w[-1] == "*" and any(t.startswith(w[:-1]) for t in TERMS)
-        if not of_known and not any(f[-1] == "*" and w.startswith(f[:-1]) or w[-1] == "*" and f.startswith(w[:-1]) for f in found):
+    # What a surer beginning covers adds nothing.
+    for w in sorted((w for w in odds if odds[w] <= CHANCE), key=lambda w: (odds[w], -rate[w], len(w), w)):
+        of_known = w in known or any(t[-1] == "*" and w.startswith(t[:-1]) for t in TERMS) or w[-1] == "*" and any(t.startswith(w[:-1]) for t in TERMS)
+        if not of_known and not any(f[-1] == "*" and w.startswith(f[:-1]) for f in found):
             found.append(w)
-    return sorted(found, key=lambda w: (-toxic[w], w))[:MOST_FOUND]
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -215,22 +246,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     def run(batches):
         for b in batches:
             folded = [fold(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([matches(f, terms) for f in folded], pa.list_(pa.int32())), pa.array([len(f.split()) for f in folded], pa.int64()), b.column(1)], ["terms", "words", "toxic"])
+            held = [sorted(Counter(matches(f, terms)).items()) for f in folded]
+            yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int64())), pa.array([len(f.split()) for f in folded], pa.int64()), b.column(1)], ["terms", "times", "words", "toxic"])
 
-    seen = sample.mapInArrow(run, "terms array<int>, words long, toxic boolean").collect()  # at most `rows` short rows
+    seen = sample.mapInArrow(run, "terms array<int>, times array<long>, words long, toxic boolean").collect()  # at most `rows` rows of distinct terms
     y = np.array([r["toxic"] for r in seen], float)
-    mild = {terms.index(t) for t in MILD}
-    weights = np.array([0.0 if i in mild else PRIOR_WEIGHT for i in range(len(terms))])
+    prior = {**dict.fromkeys(STRONG, STRONG_WEIGHT), **dict.fromkeys(MILD, 0.0)}
+    weights = np.array([prior.get(t, PRIOR_WEIGHT) for t in terms])
     if not 0 < y.sum() < len(y):
         return {"terms": terms, "weights": weights.tolist(), "curve": [-2.0, 4.0, 0.0]}
     hits = np.zeros((len(terms), 2))
     for r in seen:
-        for i in set(r["terms"]):
+        for i in r["terms"]:
             hits[i, int(r["toxic"])] += 1
     odds = np.log((hits[:, 1] + 0.5) / (y.sum() + 1)) - np.log((hits[:, 0] + 0.5) / (len(y) - y.sum() + 1))
     n = hits.sum(axis=1)
     weights = np.maximum(0, (n * odds + 5 * weights) / (n + 5))
-    x = np.array([measures(sum(weights[i] for i in r["terms"]), r["words"]) for r in seen])
+    x = np.array([measures(sum(weights[i] * n for i, n in zip(r["terms"], r["times"], strict=True)), r["words"]) for r in seen])
     return {"terms": terms, "weights": weights.tolist(), "curve": logistic(x, y).tolist()}
 
 
