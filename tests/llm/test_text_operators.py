@@ -382,6 +382,53 @@ def test_base_spans_against_plain_patterns(spark):
         assert [rows[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s.startswith(k + ":") for s in want) for k in pii.BASE_KINDS]
 
 
+def test_spans_apart_against_plain_versions(spark, monkeypatch):
+    """Walks in blocks of three against all pairs and all subsets."""
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    r = random.Random(17)
+    rows = []
+    for k in range(60):
+        span = lambda kinds: [(kind, a, a + r.randint(1, 6), float(r.randint(0, 9))) for kind in range(kinds) for a in range(r.randint(0, 8), 40, 9) if r.random() < 0.6]
+        rows.append((k, span(2), span(3)))
+    span = "array<struct<kind:int,start:int,stop:int,margin:double>>"
+    df = spark.createDataFrame(rows, f"k int, fixed {span}, found {span}")
+    over = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    for x in df.select("k", "fixed", "found", pii.apart_from(F.col("found"), F.col("fixed")).alias("free"), pii.best_apart(F.col("found")).alias("best")).collect():
+        fixed, found = [tuple(c) for c in x.fixed], [tuple(c) for c in x.found]
+        assert sorted(tuple(c) for c in x.free) == sorted(c for c in found if not any(over(c, f) for f in fixed))
+        best = [(c.kind, c.start, c.stop, c.margin) for c in x.best]
+        assert set(best) <= set(found) and not any(over(a, b) for i, a in enumerate(best) for b in best[:i])
+        by_end = sorted(found, key=lambda c: c[2])
+        sums = [0.0]
+        for i, c in enumerate(by_end):
+            sums.append(max(sums[-1], c[3] + max(sums[j] for j in range(i + 1) if j == 0 or by_end[j - 1][2] <= c[1])))
+        assert sum(c[3] for c in best) == sums[-1]
+
+
+def test_a_text_of_very_many_spans(spark):
+    n, began = 60_000, time.monotonic()
+    text = "a@b.cd 12 " * n
+    docs = table(spark, [(1, text), (2, "x (at) y.org " * 20_000)])
+    got = {x.doc_id: x for x in pii.report(docs).collect()}
+    assert got[1].n_email == n and got[1].base_sha256 == hashlib.sha256(",".join(f"email:{10 * k}:{10 * k + 6}" for k in range(n)).encode()).hexdigest()
+    out = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    assert out[1] == "<EMAIL> 12 " * n and out[2] == "<EMAIL> " * 20_000
+    assert time.monotonic() - began < 90
+
+
+def test_redaction_cuts_at_any_place(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TEXT_BLOCK", 4)
+    r = random.Random(19)
+    texts = ["".join(r.choice(("a@b.cd", "\U0001f600", "é", " word ", "+1 (017) 555-7713", "x", " ")) for _ in range(r.randint(0, 12))) for _ in range(120)]
+    for x in pii.redact(table(spark, list(enumerate(texts)))).collect():
+        found, at, want = plain_base(texts[x.doc_id]), 0, ""
+        for kind, a, b in (s.split(":") for s in found):
+            if int(a) >= at:
+                want += texts[x.doc_id][at : int(a)] + f"<{kind.upper()}>"
+            at = max(at, int(b))
+        assert x.text == want + texts[x.doc_id][at:]
+
+
 def test_judged_spans_and_redaction(spark):
     docs = table(spark, [(0, "john (at) mail (dot) com, call me (555) 123-4567"), (1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, "at 12:34:56:12:34:56:12:34, version 123 456 7890"), (3, None), (4, "plain words only")])
     assert [x.spans for x in pii.report(docs).orderBy("doc_id").collect()] == ["email:0:24,phone:34:48", "secret:0:49", "", "", ""]

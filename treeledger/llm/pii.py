@@ -7,8 +7,9 @@ keeps very long runs linear and Java's matcher off the stack.
 
 Candidates come from wide patterns and may overlap. Their format (lengths, digits, groups, check digit) and context (cue
 words before, characters around) are features of gradient-boosted trees, trained here on generated labelled examples,
-and a threshold for each kind, set on examples held out from training for a stated precision, decides. A span that is kept
-joins the base spans unless it overlaps one.
+and a threshold for each kind, set on examples held out from training for a stated precision, decides. Candidates that overlap a base span
+go; of those that overlap each other the set with the largest sum of margins over the thresholds stays. All of it is linear in the
+number of spans.
 """
 
 from __future__ import annotations
@@ -61,21 +62,93 @@ def luhn(digits: Column) -> Column:
 
 
 SPANS = "array<struct<kind:int,start:int,stop:int,part:string,before:string,after:string>>"
+#: Arrays are walked, and texts cut, in blocks of this size: what is copied grows with it instead of with the whole.
+BLOCK, TEXT_BLOCK = 256, 1024
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once, wherever it stands in what is made of it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state, x) of each item, where the state is what `step` made of the items before it, in linear time."""
+    none = F.array().cast(f"array<{kind}>")
+    one = lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out"))
+
+    def block(acc, some):
+        return F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(all_):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(all_) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    return bound(items, whole)
 
 
 def walked(parts: Column, gaps: Column, kind: str) -> Column:
     """Places of the matches, from the matches and the texts between them."""
 
-    def step(acc, i):
-        part, gap = F.get(parts, i), F.get(gaps, i)
-        start = acc["at"] + F.length(gap)
-        stop = start + F.length(part)
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), stop.alias("stop"), part.alias("part"), F.right(gap, F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def places(p, g):
+        sizes = F.transform(p, lambda x, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(x).alias("part")))
+        starts = scanned(sizes, F.lit(0), lambda at, x: at + x["gap"] + x["part"], lambda at, x: at + x["gap"], "int")
+        span = lambda start, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(F.get(p, i))).alias("stop"), F.get(p, i).alias("part"), F.right(F.get(g, i), F.lit(24)).alias("before"), F.left(F.get(g, i + 1), F.lit(1)).alias("after"))
+        return F.transform(starts, span)
+
+    none = F.array().cast(SPANS)
+    return F.when(F.size(parts) > 0, bound(parts, lambda p: bound(gaps, lambda g: places(p, g)))).otherwise(none)
+
+
+def apart_from(candidates: Column, fixed: Column) -> Column:
+    """The candidates that overlap none of the fixed spans, by two walks over both in order of start."""
+    rows = F.array_sort(F.concat(
+        F.transform(fixed, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("at"), b["stop"].alias("stop"))),
+        F.transform(candidates, lambda c, i: F.struct(c["start"].alias("start"), i.alias("at"), c["stop"].alias("stop"))),
+    ))
+
+    def clear(u):
+        # An earlier fixed span that ends after the start, or a later one that starts before the end.
+        early = scanned(u, F.lit(0), lambda end, x: F.when(x["at"] < 0, F.greatest(end, x["stop"])).otherwise(end), lambda end, x: end > x["start"], "boolean")
+        late = F.reverse(scanned(F.reverse(u), F.lit((1 << 31) - 1), lambda start, x: F.when(x["at"] < 0, x["start"]).otherwise(start), lambda start, x: start < x["stop"], "boolean"))
+        free = bound(early, lambda e: bound(late, lambda o: F.filter(u, lambda x, i: (x["at"] >= 0) & ~F.get(e, i) & ~F.get(o, i))))
+        return bound(candidates, lambda c: F.transform(free, lambda x: F.get(c, x["at"])))
+
+    return bound(rows, clear)
+
+
+BEST = "struct<total:double,previous:int>"
+
+
+def best_apart(judged_: Column) -> Column:
+    """The candidates (kind, start, stop, margin) that do not overlap and have the largest sum of margins, by one walk to and one fro."""
+    rows = F.array_sort(F.transform(judged_, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["margin"].alias("margin"))))
+    rows = F.transform(rows, lambda c, i: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["margin"].alias("margin"), i.alias("at")))
+
+    def best(state, x):
+        """The best sum that ended before a candidate, and the candidate it ended with."""
+        over = F.filter(state["open"], lambda o: o["stop"] <= x["start"])
+        better = lambda a, o: F.when(o["total"] > a["total"], F.struct(o["total"].alias("total"), o["at"].alias("previous"))).otherwise(a)
+        return F.aggregate(over, F.struct(state["total"].alias("total"), state["previous"].alias("previous")), better)
+
+    def step(state, x):
+        # At most one candidate of each kind is open, as those of a kind do not overlap.
+        still = F.filter(state["open"], lambda o: o["stop"] > x["start"])
+        held = lambda b: F.struct(b["total"].alias("total"), b["previous"].alias("previous"), F.concat(still, F.array(F.struct(x["stop"].alias("stop"), (b["total"] + x["margin"]).alias("total"), x["at"].alias("at")))).alias("open"))
+        return bound(best(state, x), held)
+
+    emit = lambda state, x: bound(best(state, x), lambda b: F.struct((b["total"] + x["margin"]).alias("total"), b["previous"].alias("previous")))
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("previous"), F.array().cast("array<struct<stop:int,total:double,at:int>>").alias("open"))
+
+    def chosen(u):
+        def back(sums):
+            last = F.array_max(F.transform(sums, lambda b, i: F.struct(b["total"].alias("total"), (-i).alias("at"))))["at"]
+            taken = F.reverse(scanned(F.reverse(u), -last, lambda at, x: F.when(x["at"] == at, F.get(sums, at)["previous"]).otherwise(at), lambda at, x: x["at"] == at, "boolean"))
+            return bound(taken, lambda t: F.filter(u, lambda x, i: F.get(t, i)))
+
+        return F.when(F.size(u) > 1, bound(scanned(u, zero, step, emit, BEST), back)).otherwise(u)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), first, step, lambda acc: acc["spans"])
-    return F.when(F.size(parts) > 0, found).otherwise(F.array().cast(SPANS))
+    return bound(rows, chosen)
 
 
 def located(docs: DataFrame, wanted: dict[str, tuple[str, str, Column]]) -> DataFrame:
@@ -218,13 +291,13 @@ def _expression(tree, x: Column) -> Column:
 
 
 def judged(candidates: Column) -> Column:
-    """Candidates that pass their kind's threshold, with their score."""
+    """Candidates that pass their kind's threshold, and by what margin."""
     trees, limits = model()
     with_x = F.transform(candidates, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), features(c).alias("x")))
     total = lambda x: sum((_expression(t, x) for t in trees[1:]), _expression(trees[0], x)) * RATE
-    scored = F.transform(with_x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), total(c["x"]).alias("score")))
     limit = lambda k: F.get(F.array(*map(F.lit, limits)), k)
-    return F.filter(scored, lambda c: c["score"] >= limit(c["kind"]))
+    scored = F.transform(with_x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), (total(c["x"]) - limit(c["kind"])).alias("margin")))
+    return F.filter(scored, lambda c: c["margin"] >= 0)
 
 
 def _rendered(spans: Column) -> Column:
@@ -235,17 +308,14 @@ def _rendered(spans: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with `base` and `added`: arrays of struct(start, kind, stop), in order of start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
     short = lambda found: F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
     need = lambda k: text.contains(NEEDS[k]) if NEEDS[k] else text.rlike("[0-9][0-9 -]{12}")
     wanted = {f"_base_{k}": (k, BASE[k], need(k)) for k in BASE_KINDS} | {f"_wide_{k}": (k, WIDE[k], text.rlike(WIDE_NEEDS[k])) for k in KINDS}
     out = located(docs, wanted)
     held = lambda k: F.filter(f"_base_{k}", lambda s: _holds(k, s["part"]))
     out = out.withColumns({"_base": F.concat(*[held(k) for k in BASE_KINDS]), "_wide": F.concat(*[f"_wide_{k}" for k in KINDS])})
-    fresh = F.filter("_wide", lambda c: F.forall("_base", lambda b: apart(c, b)))
-    out = out.withColumn("_new", F.when(F.size("_wide") > 0, judged(fresh)))
-    wins = lambda b, a: (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["kind"] < a["kind"]))))
-    kept = F.filter("_new", lambda a: F.forall("_new", lambda b: apart(a, b) | ~wins(b, a)))
+    out = out.withColumn("_new", F.when(F.size("_wide") > 0, judged(apart_from(F.col("_wide"), F.col("_base")))))
+    kept = F.when(F.size("_new") > 0, best_apart(F.col("_new")))
     empty = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     out = out.withColumns({"base": short(F.col("_base")), "added": F.coalesce(short(kept), empty)})
     return out.select(*[c for c in docs.columns if c not in ("base", "added")], "base", "added")
@@ -272,9 +342,23 @@ def redact(docs: DataFrame) -> DataFrame:
     found = spans(docs)
     both = F.array_sort(F.concat("base", "added"))
     name = lambda k: F.get(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), k)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), name(s["kind"]))).alias("out")))
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    blocks = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def piece(cut, a, b):
+        """The text from one place to another, of its blocks."""
+        i, j = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(b / TEXT_BLOCK).cast("int")
+        head, last = F.coalesce(F.get(cut, i), F.lit("")), F.coalesce(F.get(cut, j), F.lit(""))
+        far = F.concat(F.substring(head, a % TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), F.array_join(F.slice(cut, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), b % TEXT_BLOCK))
+        return F.when(i == j, F.substring(head, a % TEXT_BLOCK + 1, b - a)).otherwise(far)
+
+    def written(cut, found):
+        ends = scanned(found, F.lit(0), lambda at, s: F.greatest(at, s["stop"]), lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")), "struct<at:int,start:int,kind:int>")
+        # A span that starts before the one before it has ended lies in that one's name.
+        kept = F.filter(ends, lambda e: e["start"] >= e["at"])
+        tail = piece(cut, F.array_max(F.transform(found, lambda s: s["stop"])), F.length("text"))
+        return F.concat(F.array_join(F.transform(kept, lambda e: F.concat(piece(cut, e["at"], e["start"]), name(e["kind"]))), ""), tail)
+
+    whole = bound(blocks, lambda cut: bound(F.col("_spans"), lambda found: written(cut, found)))
     text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
     out = found.withColumn("_spans", both).withColumn("text", text)
     if "n_chars" in docs.columns:
