@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.scratch import discard, mark, materialize, release, scratch_path
 
-__all__ = ["DOCUMENT", "discard", "document_key", "mark", "materialize", "release", "scratch_path", "table", "text_key"]
+__all__ = ["DOCUMENT", "at_work", "discard", "document_key", "mark", "materialize", "release", "scratch_path", "table", "text_key"]
 
 #: Columns that tell documents apart: id and text. Rows that agree in both are one document several times.
 DOCUMENT = ["nameless", "id", "text_key"]
@@ -26,3 +28,13 @@ def text_key(text: Column) -> Column:
 def document_key() -> list[Column]:
     """DOCUMENT, none of them null, in an order that puts ids before their lack."""
     return [F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_key(F.col("text")).alias("text_key")]
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def at_work(name: str, clear: Callable[[], None]) -> None:
+    """For tasks, as they begin: a Python worker that serves several operators keeps the cache of the one that it works for, and `clear` drops it when another comes."""
+    for other in [n for n in _caches if n != name]:
+        _caches.pop(other)()
+    _caches[name] = clear

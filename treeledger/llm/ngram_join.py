@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import DOCUMENT, discard, document_key, materialize
+from treeledger.llm.common import DOCUMENT, at_work, discard, document_key, materialize
 
 WORDS_KEPT = 300_000
 TILE_NGRAMS = 300_000
@@ -108,6 +108,7 @@ def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         import hashlib
 
+        at_work("ngrams", _words.clear)
         for b in batches:
             sizes, digests, flat, ends = [], [], [], [0]
             for text in b.column(3):
@@ -170,6 +171,7 @@ def _streamed_links(n: int, percent: int):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, ids, sets, known = None, [], [], []
+        at_work("ngrams", _words.clear)
 
         def out():
             found = block_links(ids, sets, percent, known)

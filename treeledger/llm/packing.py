@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import discard, materialize
+from treeledger.llm.common import at_work, discard, materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -160,6 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        at_work("packing", _encoders.clear)
         enc = encoder(tokenizer)
         for batch in batches:
             rows = [(d, *p) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in cut(enc.ids(t or "") + end, capacity)]

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize
+from treeledger.llm.common import at_work, materialize
 
 SAMPLE_ROWS = 20_000
-#: Preceding words are counted up to so many in each partition; learning asks for no more.
+#: Preceding words are counted up to so many in each part of a partition; learning asks for no more.
 MOST_BEFORE = 20
+#: Counts leave a worker once they are so many.
+MOST_HELD = 20_000
 #: A term is learned when it is surely (but for this chance) LEAST_RATIO times as frequent in toxic texts as in clean ones.
 CHANCE, LEAST_RATIO = 0.001, 2.7
 BEGIN = (4, 7)
@@ -116,6 +118,7 @@ def automaton(terms: tuple[str, ...]):
             made.add_word(form, held)
         made.make_automaton()
         _cached.clear()
+        at_work("toxicity", _cached.clear)
         _cached["automaton", terms] = made
     return _cached["automaton", terms]
 
@@ -164,22 +167,29 @@ def affixes(folded: str) -> dict[str, str]:
 
 
 def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """In how many texts each affix occurs, and after how many different words (up to a bound for each partition)."""
+    """In how many texts each affix occurs, and after how many different words (up to a bound)."""
 
     def run(batches):
         counts: dict[str, list] = {}
+
+        def out():
+            w, held = zip(*counts.items(), strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(w), pa.array([n for n, _ in held], pa.int64()), pa.array([sorted(p) for _, p in held], pa.list_(pa.string()))], ["affix", "n", "before"])
+            counts.clear()
+            return batch
+
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for w, before in affixes(fold(text)).items():
+            for text in b.column(0):
+                for w, before in affixes(fold(text.as_py())).items():
                     if wanted is None or w in wanted:
                         at = counts.setdefault(w, [0, set()])
                         at[0] += 1
                         if wanted is None and len(at[1]) < MOST_BEFORE:
                             at[1].add(before)
-        rows = [(w, n, sorted(p)) for w, (n, p) in counts.items()]
-        for k in range(0, len(rows), 20_000):
-            w, n, p = zip(*rows[k : k + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.string()))], ["affix", "n", "before"])
+                if len(counts) >= MOST_HELD:
+                    yield out()
+        if counts:
+            yield out()
 
     return sample.mapInArrow(run, "affix string, n long, before array<string>").groupBy("affix").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
 
