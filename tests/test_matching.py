@@ -43,15 +43,15 @@ def test_conflict_declines_and_redundant_vanishes(spark):
 
 
 def test_clique_chain(spark):
-    found, _ = grouped(spark, [(1, "alpha/shared.jpg", 500_000, T + "0"), (2, "beta/shared.jpg", 500_000, T + "1"), (3, "beta/other.jpg", 500_000, "2020-01-01_13:00:01")])
+    found, _ = grouped(spark, [(1, "north/twin.tif", 500_000, T + "0"), (2, "south/twin.tif", 500_000, T + "1"), (3, "south/odd.tif", 500_000, "2020-01-01_13:00:01")])
     assert [c for c, _ in found] == [45.0, 70.0]
 
 
 def test_caps_skip_whole_groups(spark):
-    found, skipped = grouped(spark, [(1, f"d{i}/clone.bin", 500_000, None) for i in range(33)])
-    assert found == [] and len(skipped) == 33
-    found, skipped = grouped(spark, [(1, f"DCIM/file{i}.jpg", 123_456, T + "0") for i in range(350)])
-    assert found == [] and len(skipped) == 350
+    found, skipped = grouped(spark, [(1, f"d{i}/stamp.dat", 500_000, None) for i in range(35)])
+    assert found == [] and len(skipped) == 35
+    found, skipped = grouped(spark, [(1, f"ROLL/scan{i}.tif", 98_304, T + "0") for i in range(320)])
+    assert found == [] and len(skipped) == 320
 
 
 def test_cliques_against_brute_force():

@@ -1,7 +1,7 @@
 """The catalogue: versioned Parquet snapshots of its tables, and what changes them.
 
-A snapshot is a folder for each table version; a small pointer names the current one, so readers never see half a
-write. Changes rewrite the table they touch. Paths go through Spark's own file systems, so a catalogue may
+A snapshot is a folder for each table version; numbered pointers name them, and the newest one counts, so readers never see half a
+write and a writer that fails leaves the version before. Changes rewrite the table they touch. Paths go through Spark's own file systems, so a catalogue may
 lie wherever Spark can read.
 """
 
@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from treeledger.functions.regions import HashSpec
 from treeledger.schema import SCHEMAS, with_missing_columns
@@ -35,12 +34,14 @@ class Catalog:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
+    def _pointers(self, table: str) -> list[int]:
+        fs, path = self._fs()
+        at = path(f"{self.folder}/{table}/current")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()) if fs.exists(at) else []
+
     def _version(self, table: str) -> str | None:
-        try:
-            row = self.spark.read.text(f"{self.folder}/{table}/current").first()
-        except AnalysisException:
-            return None
-        return row[0] if row else None
+        held = self._pointers(table)
+        return self.spark.read.text(f"{self.folder}/{table}/current/{held[-1]}").first()[0] if held else None
 
     def read(self, table: str) -> DataFrame:
         version = self._version(table)
@@ -53,11 +54,12 @@ class Catalog:
         version = f"v-{uuid.uuid4().hex}"
         with_missing_columns(df, table).write.parquet(f"{self.folder}/{table}/{version}")
         fs, path = self._fs()
-        fresh = f"{self.folder}/{table}/.current-{version}"
+        fresh, held = f"{self.folder}/{table}/.pointer-{version}", self._pointers(table)
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(fresh)
-        fs.delete(path(f"{self.folder}/{table}/current"), True)
-        if not fs.rename(path(fresh), path(f"{self.folder}/{table}/current")):
-            raise OSError(f"the pointer of {table} could not be moved")
+        fs.mkdirs(path(f"{self.folder}/{table}/current"))
+        at = path(f"{self.folder}/{table}/current/{held[-1] + 1 if held else 1}")
+        if fs.exists(at) or not fs.rename(path(fresh), at):
+            raise OSError(f"another writer changed {table}")
 
     def append(self, table: str, df: DataFrame) -> None:
         self.write(table, self.read(table).unionByName(with_missing_columns(df, table)))
@@ -198,6 +200,8 @@ class Catalog:
         folders = rollup.overlap_folders(nodes, cross).withColumn("kind", F.lit("folder"))
         listed = rollup.listing_folders(nodes, rollup.listing_hashes(self.spark, nodes), params.min_size).withColumn("kind", F.lit("folder"))
         found = materialize(self.spark, groups.unionByName(folders.select(*groups.columns)).unionByName(listed.select(*groups.columns)), "found")
+        # A group's key is the same in every workspace that holds the same files, so its id names the workspace too.
+        found = found.withColumn("group_key", F.concat(F.lit(f"{workspace_id}|"), "group_key"))
         rows = found.groupBy(F.col("group_key").alias("id"), "kind", "confidence", F.col("signal").alias("primary_signal")).agg(F.min("size").alias("size")).withColumn("workspace_id", F.lit(workspace_id).cast("long"))
         old = self.read("match_groups").where((F.col("workspace_id") == workspace_id) & (F.col("kind") != "hardlink")).select(F.col("id").alias("group_id"))
         members = self.read("match_members").join(old, "group_id", "left_anti").unionByName(found.select(F.col("group_key").alias("group_id"), "node_id", F.lit("member").alias("role")))

@@ -72,10 +72,10 @@ def f4_mtime_norm(spark, sf_dir):
     return _times(spark, sf_dir).select("k", s.mtime_norm(F.col("b")).alias("norm"), s.mtime_seconds(F.col("b")).alias("seconds"))
 
 
-@query("f5_search_match", """SELECT doc_id, contains(lower(substr(text, 1, 200)), 'éa') AS folded, contains(substr(text, 1, 200), 'Th') AS exact,
-    regexp_matches(lower(substr(text, 1, 200)), '(?s)th.*on.e') AS glob, regexp_matches(substr(text, 1, 200), '(?s)T.e ') AS glob_exact FROM documents""")
+@query("f5_search_match", """SELECT doc_id, contains(lower(text), 'éa') AS folded, contains(text, 'Th') AS exact,
+    regexp_matches(lower(text), '(?s)th.*on.e') AS glob, regexp_matches(text, '(?s)T.e ') AS glob_exact FROM documents""")
 def f5_search_match(spark, sf_dir):
-    name = F.substring("text", 1, 200)
+    name = F.col("text")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", s.search_match(name, "éA").alias("folded"), s.search_match(name, "Th", True).alias("exact"), s.search_match(name, "th*on?e").alias("glob"), s.search_match(name, "T?e ", True).alias("glob_exact"))
 
 
@@ -103,7 +103,8 @@ def c_closure(spark, sf_dir):
     return tree.closure_by_path(corpora.shelf(spark, sf_dir)).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query("c_closure_by_parent", SHELF_SQL + "SELECT node_id, ancestor_id, distance FROM closure JOIN nodes USING (node_id) WHERE type = 'directory'")
+@query("c_closure_by_parent", SHELF_SQL + f"""SELECT node_id, {corpora._key("source_id", "array_to_string(list_slice(string_split(rel_path, '/'), 1, n.n), '/')")} AS ancestor_id, depth + 1 - n.n AS distance
+    FROM nodes, (SELECT unnest(range(1, 10)) AS n) n WHERE n.n <= depth AND type = 'directory'""")
 def c_closure_by_parent(spark, sf_dir):
     dirs = corpora.shelf(spark, sf_dir).where("type = 'directory'")
     return tree.closure_by_parent(spark, dirs).withColumn("distance", F.col("distance").cast("long"))
@@ -526,9 +527,9 @@ def a13_sources_below(spark, sf_dir):
     return rollup.sources_below(corpora.shelf(spark, sf_dir), F.col("source_id"))
 
 
-@query("t8_delete_nodes", SHELF_SQL + f"SELECT node_id AS id FROM nodes WHERE source_id = 1 AND node_id <> {ROOT} AND node_id NOT IN (SELECT node_id FROM closure WHERE ancestor_id = {ROOT})")
+@query("t8_delete_nodes", SHELF_SQL + "SELECT node_id AS id FROM nodes WHERE source_id <> 1 OR NOT (rel_path = 'R/y1996' OR starts_with(rel_path, 'R/y1996/'))")
 def t8_delete_nodes(spark, sf_dir):
-    nodes = corpora.shelf(spark, sf_dir).where("source_id = 1")
+    nodes = corpora.shelf(spark, sf_dir)
     return plan_tree.delete_nodes(nodes.select(F.col("node_id").alias("id")), tree.closure_by_path(nodes), [ROOT])
 
 
