@@ -81,8 +81,8 @@ ORACLE_SQL = {
             SELECT benchmark, id, text,
                    regexp_extract_all(regexp_replace(lower(text), '([\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w
             FROM words),
-        d AS (SELECT row_number() OVER () AS d, id AS doc_id, w FROM t WHERE benchmark = 0),
-        i AS (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT DISTINCT id AS item_id, w FROM t WHERE benchmark = 1 AND len(w) >= 5)),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS d, id AS doc_id, w FROM t WHERE benchmark = 0),
+        i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT DISTINCT id AS item_id, w FROM t WHERE benchmark = 1 AND len(w) >= 5)),
         dt AS (SELECT d, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
         it AS (SELECT i, len(w) AS n, CASE WHEN len(w) >= 13 THEN 11 WHEN len(w) >= 8 THEN len(w) - 1 ELSE len(w) END AS need, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM i),
         agree AS (
@@ -97,7 +97,7 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY d, i ORDER BY k DESC, m DESC, s) = 1
     """,
     "op6_nearest_neighbours": """
-        WITH good AS (
+        WITH good AS MATERIALIZED (
             SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -108,18 +108,18 @@ ORACLE_SQL = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
     "op7_ngram_join": r"""
-        WITH RECURSIVE w AS (
+        WITH RECURSIVE w AS MATERIALIZED (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
             FROM documents),
-        s AS (
+        s AS MATERIALIZED (
             SELECT r, unnest(list_distinct(CASE
                 WHEN len(words) = 0 THEN []
                 WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
                 ELSE list_transform(generate_series(1, len(words) - 2), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS g
             FROM w),
-        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
         pair AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
-        link AS (SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
         reach AS (SELECT r, r AS seen FROM w UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.seen)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
         FROM w LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.seen GROUP BY reach.r) c USING (r)
@@ -131,7 +131,7 @@ ORACLE_SQL = {
             SELECT dense_rank() OVER (ORDER BY conv_id, own) AS c, conv_id, role, text,
                    row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, md5(role || chr(10) || text)) AS position
             FROM t),
-        lines AS (SELECT c, conv_id, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM numbered),
+        lines AS MATERIALIZED (SELECT c, conv_id, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM numbered),
         whole AS (SELECT c, any_value(conv_id) AS conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY position) AS rendered FROM lines GROUP BY c),
         proper AS (
             SELECT DISTINCT a.c, a.position AS n, string_agg(b.line, '' ORDER BY b.position) AS rendered
