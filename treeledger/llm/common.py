@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeledger.scratch import discard, mark, materialize, release, scratch_path
 
-__all__ = ["DOCUMENT", "at_work", "discard", "document_key", "mark", "materialize", "release", "scratch_path", "table", "text_key"]
+__all__ = ["DOCUMENT", "at_work", "by_bytes", "discard", "document_key", "mark", "materialize", "release", "scratch_path", "table", "text_key"]
 
 #: Columns that tell documents apart: id and text. Rows that agree in both are one document several times.
 DOCUMENT = ["nameless", "id", "text_key"]
@@ -30,6 +30,18 @@ def document_key() -> list[Column]:
     return [F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_key(F.col("text")).alias("text_key")]
 
 
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def by_bytes(df: DataFrame) -> DataFrame:
+    """Rows on their way to Python: Arrow batches end at BATCH_BYTES, as rows with whole texts are of any size, unless the session has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 _caches: dict[str, Callable[[], None]] = {}
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import DOCUMENT, at_work, discard, document_key, materialize
+from treeledger.llm.common import DOCUMENT, at_work, by_bytes, discard, document_key, materialize
 
 WORDS_KEPT = 300_000
 TILE_NGRAMS = 300_000
@@ -121,7 +121,7 @@ def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*DOCUMENT, "n_shingles", "digest", "parts"])
 
-    return docs.select(*document_key(), "text").mapInArrow(run, "nameless boolean, id long, text_key binary, n_shingles long, digest binary, parts array<long>")
+    return by_bytes(docs.select(*document_key(), "text")).mapInArrow(run, "nameless boolean, id long, text_key binary, n_shingles long, digest binary, parts array<long>")
 
 
 def block_links(ids: list[int], sets: list[frozenset[int]], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
@@ -250,7 +250,7 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataF
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
         groups = rows.join(texts, "member").select("block", "i", "j", "member", "component", "text")
-        return materialize(spark, groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_streamed_links(n, percent), shape), name)
+        return materialize(spark, by_bytes(groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")).mapInArrow(_streamed_links(n, percent), shape), name)
 
     none = F.lit(0).alias("j")
     home = F.pmod(F.xxhash64("block"), F.col("shards")).cast("int")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import at_work, discard, materialize
+from treeledger.llm.common import at_work, by_bytes, discard, materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return by_bytes(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, PIECES)
 
 
 def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import at_work, materialize
+from treeledger.llm.common import at_work, by_bytes, materialize
 
 SAMPLE_ROWS = 20_000
 #: Preceding words are counted up to so many in each part of a partition; learning asks for no more.
@@ -191,7 +191,7 @@ def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
         if counts:
             yield out()
 
-    return sample.mapInArrow(run, "affix string, n long, before array<string>").groupBy("affix").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
+    return by_bytes(sample).mapInArrow(run, "affix string, n long, before array<string>").groupBy("affix").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
 
 
 def chance(toxic: int, n: int, share: float) -> float:
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
             held = [sorted(Counter(matches(f, terms)).items()) for f in folded]
             yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int64())), pa.array([len(f.split()) for f in folded], pa.int64()), b.column(1)], ["terms", "times", "words", "toxic"])
 
-    seen = sample.mapInArrow(run, "terms array<int>, times array<long>, words long, toxic boolean").collect()  # at most `rows` rows of distinct terms
+    seen = by_bytes(sample).mapInArrow(run, "terms array<int>, times array<long>, words long, toxic boolean").collect()  # at most `rows` rows of distinct terms
     y = np.array([r["toxic"] for r in seen], float)
     prior = {**dict.fromkeys(STRONG, STRONG_WEIGHT), **dict.fromkeys(MILD, 0.0)}
     weights = np.array([prior.get(t, PRIOR_WEIGHT) for t in terms])
@@ -298,7 +298,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_matches", "n_words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_matches long, n_words long")
+    return by_bytes(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_matches long, n_words long")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -311,15 +311,13 @@ def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     model = train(docs, labels)
     terms, weights, (bias, a, c) = model["terms"], model["weights"], model["curve"]
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def fine(texts):
-        import pandas as pd
-
         def one(t):
             folded = fold(t or "")
             x, y = measures(sum(weights[i] for i in matches(folded, terms)), len(folded.split()))
             return bias + a * x + c * y < 0
 
-        return pd.Series([one(t) for t in texts], dtype=bool)
+        return pa.array([one(t.as_py()) for t in texts], pa.bool_())
 
-    return docs.where(fine(F.coalesce("text", F.lit(""))))
+    return by_bytes(docs).where(fine(F.coalesce("text", F.lit(""))))
