@@ -107,16 +107,37 @@ def snap_match_floor(confidence: float) -> int:
     return min((f for _, f in TIER_FLOORS if f >= confidence), default=TIER_FLOORS[0][1])
 
 
+UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
+
+
 def format_bytes(n: Column) -> Column:
     """Size in units of 1024: no decimals for bytes and from 10 on, else one."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for i, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+    for i, unit in enumerate(UNITS[1:], 1):
         v = n / float(1024**i)
         text = F.when(v >= 10, F.floor(v + 0.5).cast("string")).otherwise(F.format_string("%.1f", F.floor(v * 10 + 0.5) / 10))
         out = out.when(n < 1024 ** (i + 1), F.concat(text, F.lit(f" {unit}"))) if unit != "PB" else out.otherwise(F.concat(text, F.lit(" PB")))
     return out
 
 
+def widest_bytes(most: int) -> int:
+    """Length of the longest text that format_bytes gives for any size up to `most`: the longest of a unit is that just under the next unit."""
+    from math import floor
+
+    def text(n: int) -> str:
+        step = min(5, max(0, (max(n, 1).bit_length() - 1) // 10))
+        v = n / 1024**step
+        return f"{floor(v + 0.5)} {UNITS[step]}" if step == 0 or v >= 10 else f"{floor(v * 10 + 0.5) / 10:.1f} {UNITS[step]}"
+
+    tops = [1024**i - 1 for i in range(1, 63) if 1024**i - 1 <= most]
+    return max(len(text(n)) for n in [most, *tops])
+
+
+def format_time(time: Column) -> Column:
+    """A listing's time with a space between date and time; a dash for none."""
+    return F.coalesce(F.regexp_replace(F.nullif(time, F.lit("")), "^([^_]*)_", "$1 "), F.lit("—"))
+
+
 def pct(value: Column, digits: int = 0) -> Column:
     """Clamped to 0-100 and rounded half up."""
     scale = 10.0**digits

@@ -104,10 +104,9 @@ def c_closure(spark, sf_dir):
 
 
 @query("c_closure_by_parent", SHELF_SQL + f"""SELECT node_id, {corpora._key("source_id", "array_to_string(list_slice(string_split(rel_path, '/'), 1, n.n), '/')")} AS ancestor_id, depth + 1 - n.n AS distance
-    FROM nodes, (SELECT unnest(range(1, 10)) AS n) n WHERE n.n <= depth AND type = 'directory'""")
+    FROM nodes, (SELECT unnest(range(1, 10)) AS n) n WHERE n.n <= depth""")
 def c_closure_by_parent(spark, sf_dir):
-    dirs = corpora.shelf(spark, sf_dir).where("type = 'directory'")
-    return tree.closure_by_parent(spark, dirs).withColumn("distance", F.col("distance").cast("long"))
+    return tree.closure_by_parent(spark, _shelf(spark, sf_dir)).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("p1_live", SHELF_SQL + "SELECT node_id FROM nodes WHERE source_id <> 3")
@@ -462,42 +461,43 @@ _HITS = SHELF_SQL + ", hit AS (SELECT node_id FROM nodes WHERE regexp_matches(lo
 @query("t1_search_nodes", _HITS + "SELECT node_id, node_id IN (SELECT node_id FROM hit) AS matched, node_id IN (SELECT node_id FROM up) AS is_ancestor FROM (SELECT node_id FROM hit UNION SELECT node_id FROM up)")
 def t1_search_nodes(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
-    return browse.search_nodes(nodes, tree.closure_by_path(nodes), "F1*7?x")
+    return browse.search_nodes(nodes, None, "F1*7?x")
 
 
 @query("p11_visible", _HITS + "SELECT node_id FROM (SELECT node_id FROM hit UNION SELECT node_id FROM up) WHERE node_id % 3 <> 0")
 def p11_visible(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
-    return browse.visible(nodes, tree.closure_by_path(nodes), _marks(nodes), "F1*7?x", True)
+    return browse.visible(nodes, None, _marks(nodes), "F1*7?x", True)
 
 
 @query("t2_node_location", SHELF_SQL + """SELECT n.node_id, coalesce(string_agg(ancestor_id, ',' ORDER BY distance DESC), '') AS ancestors, n.node_id % 3 = 0 OR coalesce(bool_or(ancestor_id % 3 = 0), false) AS hidden_by_filter
     FROM nodes n LEFT JOIN closure USING (node_id) WHERE type = 'link' GROUP BY n.node_id""")
 def t2_node_location(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
-    found = browse.locations(nodes, tree.closure_by_path(nodes), _marks(nodes), nodes.where("type = 'link'"))
+    found = browse.locations(nodes, None, _marks(nodes), nodes.where("type = 'link'"))
     return found.select("node_id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"), "hidden_by_filter")
 
 
 @query("t3_materialize_subtree", SHELF_SQL + f""", below AS (SELECT node_id FROM closure WHERE ancestor_id = {ROOT} UNION SELECT {ROOT}),
     under AS (SELECT DISTINCT c.node_id FROM closure c JOIN below USING (node_id) WHERE ancestor_id IN (SELECT node_id FROM below) AND ancestor_id <> {ROOT} AND ancestor_id % 3 = 0)
-    SELECT n.node_id % 1099511627776 + 1000 AS id, 7::BIGINT AS consolidation_id, CASE WHEN n.node_id = {ROOT} THEN 5 ELSE n.parent_id % 1099511627776 + 1000 END AS parent_id, name, CASE WHEN type = 'directory' THEN 'directory' ELSE 'file' END AS type,
-    n.node_id AS source_node_id, CASE WHEN n.node_id = {ROOT} THEN 3 ELSE row_number() OVER (PARTITION BY parent_id ORDER BY type <> 'directory', lower(name), n.node_id) END AS sort_order, false AS done,
-    n.node_id % 3 = 0 AND n.node_id <> {ROOT} AND n.node_id NOT IN (SELECT node_id FROM under) AS struck FROM nodes n JOIN below USING (node_id)""")
+    , ids AS (SELECT node_id, row_number() OVER (ORDER BY node_id) + 999 AS id FROM below)
+    SELECT i.id, 7::BIGINT AS consolidation_id, CASE WHEN n.node_id = {ROOT} THEN 5 ELSE p.id END AS parent_id, name, CASE WHEN type = 'directory' THEN 'directory' ELSE 'file' END AS type,
+    n.node_id AS source_node_id, CASE WHEN n.node_id = {ROOT} THEN 3 ELSE row_number() OVER (PARTITION BY n.parent_id ORDER BY type <> 'directory', lower(name), n.node_id) END AS sort_order, false AS done,
+    n.node_id % 3 = 0 AND n.node_id <> {ROOT} AND n.node_id NOT IN (SELECT node_id FROM under) AS struck FROM nodes n JOIN ids i USING (node_id) LEFT JOIN ids p ON p.node_id = n.parent_id""")
 def t3_materialize_subtree(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
     return plan_tree.materialize_subtree(nodes, tree.closure_by_path(nodes), _marks(nodes), ROOT, 7, 5, 3, 1000, True)
 
 
 def _plan_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.where("source_id = 2").select(F.col("node_id").alias("id"), "parent_id", "name", s.normalize_type(F.col("type")).alias("type"), F.col("node_id").alias("source_node_id"), (F.col("node_id") % 2 == 0).alias("done"), (F.col("node_id") % 7 == 0).alias("struck"))
+    return nodes.select(F.col("node_id").alias("id"), "parent_id", "name", s.normalize_type(F.col("type")).alias("type"), F.col("node_id").alias("source_node_id"), (F.col("node_id") % 2 == 0).alias("done"), (F.col("node_id") % 7 == 0).alias("struck"))
 
 
 def _renames(rows: DataFrame) -> DataFrame:
     return rows.where("id % 5 = 0").select(F.lit("cons").alias("kind"), F.col("id").alias("ref_id"), F.concat(F.lit("renamed-"), (F.col("id") % 1000).cast("string")).alias("new_name"))
 
 
-_PLAN = SHELF_SQL + """, r AS (SELECT node_id AS id, parent_id, CASE WHEN node_id % 5 = 0 THEN 'renamed-' || (node_id % 1000) ELSE name END AS name, type <> 'directory' AS is_file, node_id % 2 = 0 AS done, node_id % 7 = 0 AS struck, CASE WHEN type = 'file' AND alias_of IS NOT NULL THEN 0 ELSE size END AS size FROM nodes WHERE source_id = 2),
+_PLAN = SHELF_SQL + """, r AS (SELECT node_id AS id, parent_id, CASE WHEN node_id % 5 = 0 THEN 'renamed-' || (node_id % 1000) ELSE name END AS name, type <> 'directory' AS is_file, node_id % 2 = 0 AS done, node_id % 7 = 0 AS struck, CASE WHEN type = 'file' AND alias_of IS NOT NULL THEN 0 ELSE size END AS size FROM nodes),
     cl2 AS (SELECT c.* FROM closure c JOIN r ON r.id = c.node_id),
     ra AS (SELECT r.*, struck OR id IN (SELECT node_id FROM cl2 WHERE ancestor_id % 7 = 0) AS struck_all FROM r)
 """
@@ -509,7 +509,7 @@ _PLAN = SHELF_SQL + """, r AS (SELECT node_id AS id, parent_id, CASE WHEN node_i
 def t4_path_lengths(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
     rows = _plan_rows(nodes)
-    closure = tree.closure_by_path(nodes.where("source_id = 2"))
+    closure = tree.closure_by_path(nodes.where("type = 'directory'"))
     return plan_tree.path_lengths(spark, rows, _renames(rows), closure, "D:\\", 26).withColumn("length", F.col("length").cast("long"))
 
 
@@ -519,7 +519,7 @@ def t4_path_lengths(spark, sf_dir):
 def a12_consolidated_stats(spark, sf_dir):
     nodes = _shelf(spark, sf_dir)
     sizes = nodes.select(F.col("node_id").alias("source_node_id"), F.when(F.col("alias_of").isNotNull(), 0).otherwise(F.col("size")).alias("size"))
-    return plan_tree.consolidated_stats(_plan_rows(nodes), tree.closure_by_path(nodes.where("source_id = 2")), sizes)
+    return plan_tree.consolidated_stats(_plan_rows(nodes), tree.closure_by_path(nodes.where("type = 'directory'")), sizes)
 
 
 @query("a13_sources_below", SHELF_SQL + "SELECT dir_path, count(DISTINCT leaf) AS n_sources FROM (SELECT a.rel_path AS dir_path, n.source_id AS leaf FROM nodes n JOIN closure c ON c.node_id = n.node_id JOIN nodes a ON a.node_id = c.ancestor_id WHERE n.type <> 'directory') GROUP BY dir_path")
