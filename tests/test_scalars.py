@@ -38,6 +38,18 @@ def test_labels(spark):
     assert order == ["z", "F2", "f10"]
 
 
+def test_times_widths_and_paths(spark):
+    times = [("2021-03-04_05:06:07",), ("a_b_c",), ("",), (None,)]
+    assert [v for v, in values(spark, times, "t string", s.format_time(F.col("t")))] == ["2021-03-04 05:06:07", "a b_c", "—", "—"]
+    assert [s.widest_bytes(n) for n in (0, 9, 1023, 1024, 1 << 40)] == [3, 3, 6, 6, 7]
+    paths = [("a//b\\c",), ("",), ("one",)]
+    assert [v for v, in values(spark, paths, "p string", s.path_segments(F.col("p")))] == [["a", "b", "c"], [], ["one"]]
+    assert [v for v, in values(spark, paths, "p string", s.join_path(s.path_segments(F.col("p"))))] == ["a/b/c", "", "one"]
+    names = [("Trio-TRIO.flac",), ("solo",)]
+    assert [v for v, in values(spark, names, "n string", s.highlights(F.col("n"), "trio"))] == [["Trio", "TRIO"], []]
+    assert [v for v, in values(spark, names, "n string", s.highlights(F.col("n"), "s?l", True))] == [[], ["sol"]]
+
+
 def test_regions():
     spec = HashSpec(8 * MIB, MIB, 8)
     assert plan_regions(0, spec) == [] and plan_regions(5, spec) == [(0, 5)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,14 @@ class Catalog:
 
     def _version(self, table: str) -> str | None:
         held = self._pointers(table)
-        return self.spark.read.text(f"{self.folder}/{table}/current/{held[-1]}").first()[0] if held else None
+        if not held:
+            return None
+        fs, path = self._fs()
+        at = fs.open(path(f"{self.folder}/{table}/current/{held[-1]}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(at, "UTF-8")
+        finally:
+            at.close()
 
     def read(self, table: str) -> DataFrame:
         version = self._version(table)
@@ -55,7 +63,9 @@ class Catalog:
         with_missing_columns(df, table).write.parquet(f"{self.folder}/{table}/{version}")
         fs, path = self._fs()
         fresh, held = f"{self.folder}/{table}/.pointer-{version}", self._pointers(table)
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(fresh)
+        out = fs.create(path(fresh), False)
+        out.write(bytearray(version.encode()))
+        out.close()
         fs.mkdirs(path(f"{self.folder}/{table}/current"))
         at = path(f"{self.folder}/{table}/current/{held[-1] + 1 if held else 1}")
         if fs.exists(at) or not fs.rename(path(fresh), at):
@@ -123,8 +133,9 @@ class Catalog:
 
     def source_add(self, workspace_id: int, nodes: DataFrame, **facts) -> int:
         """A source with its nodes (source_id is set here); totals and hardlinks come from them."""
-        from treeledger.functions.scalars import node_key, parent_path
+        from treeledger.functions.scalars import filesystem_is_trusted, node_key, parent_path
         from treeledger.operators.tree import hardlinks, source_totals, subtree_totals
+        from treeledger.scratch import materialize
 
         at = self._next_id("sources")
         names = {c.split()[0]: c.split()[1] for c in SCHEMAS["nodes"].split(", ")}
@@ -134,8 +145,11 @@ class Catalog:
         own = own.withColumn("parent_id", F.when(up != "", node_key(F.col("source_id"), up)))
         source = self._row("sources", id=at, workspace_id=workspace_id, imported_at=now(), **facts)
         whole = with_missing_columns(source, "sources")
-        sets = hardlinks(own, whole).where("node_id <> canonical_id").select("node_id", F.col("canonical_id").alias("found"))
-        own = own.join(sets, "node_id", "left").withColumn("alias_of", F.col("found")).drop("found")
+        own = materialize(self.spark, own, "source")
+        sets = materialize(self.spark, hardlinks(own, whole), "hardlinks")
+        own = own.join(sets.where("node_id <> canonical_id").select("node_id", F.col("canonical_id").alias("found")), "node_id", "left").withColumn("alias_of", F.col("found")).drop("found")
+        trusted = whole.select(F.coalesce((F.col("kind") == "scan") & filesystem_is_trusted(F.col("filesystem")), F.lit(False))).first()[0]
+        own = own.withColumn("inode_trusted", F.lit(trusted))
         sums = source_totals(own).first()
         totals = subtree_totals(own).withColumnsRenamed({"subtree_size": "s", "subtree_file_count": "n"})
         own = own.join(totals, "node_id", "left").withColumns({"id": F.col("node_id"), "subtree_size": F.col("s"), "subtree_file_count": F.col("n")})
@@ -143,11 +157,31 @@ class Catalog:
             whole = whole.withColumns({c: F.lit(sums[c]).cast("long") for c in ("total_size", "file_count", "alias_bytes", "physical_size")})
         self.append("nodes", own)
         self.append("sources", whole)
+        group = F.concat(F.lit(f"{workspace_id}|hardlink|"), F.col("canonical_id").cast("string"))
+        heads = sets.where("node_id = canonical_id").join(own.select("node_id", "size"), "node_id")
+        self._add_members(heads.select(group.alias("id"), F.lit(workspace_id).alias("workspace_id"), F.lit("hardlink").alias("kind"), F.lit(100.0).alias("confidence"), F.lit("inode").alias("primary_signal"), "size"), sets.select(group.alias("group_id"), "node_id"))
+        self._stale(workspace_id)
         return at
 
+    def _add_members(self, groups: DataFrame, members: DataFrame) -> None:
+        if not groups.isEmpty():
+            self.append("match_members", members)
+            self.append("match_groups", groups)
+
+    def _workspace_of(self, source_id: int) -> int | None:
+        row = self.read("sources").where(F.col("id") == source_id).first()
+        return row["workspace_id"] if row else None
+
+    def _stale(self, workspace_id: int | None) -> None:
+        """What changed sources or digests makes the workspace's groups out of date until the next matching."""
+        if workspace_id is not None:
+            self.state_set("dedup_stale", "1", workspace_id)
+
     def source_set(self, source_id: int, **values) -> None:
-        """Label, colour, exclusion or least size to digest of a source."""
+        """Label, colour, exclusion or least size to digest of a source; exclusion makes groups out of date."""
         self.update("sources", F.col("id") == source_id, **values)
+        if "excluded" in values:
+            self._stale(self._workspace_of(source_id))
 
     def _drop_source(self, source_id: int) -> None:
         own = self.read("nodes").where(F.col("source_id") == source_id).select(F.col("id").alias("node_id"))
@@ -156,15 +190,18 @@ class Catalog:
         self.delete("nodes", F.col("source_id") == source_id)
         self.delete("scan_progress", F.col("source_id") == source_id)
         self.delete("sources", F.col("id") == source_id)
+        self._remove(self._digests(source_id))
 
     def source_delete(self, source_id: int) -> None:
         """Files that came from it leave consolidations, then it goes with its nodes, then groups left with fewer than two members."""
         from treeledger.operators.plan_tree import purge_source_files
 
+        workspace = self._workspace_of(source_id)
         nodes = self.read("nodes").withColumn("node_id", F.col("id"))
         self.write("consolidation_nodes", purge_source_files(self.read("consolidation_nodes"), nodes, source_id))
         self._drop_source(source_id)
         self.sweep_groups()
+        self._stale(workspace)
 
     def sweep_groups(self) -> None:
         held = self.read("match_members").groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
@@ -185,23 +222,188 @@ class Catalog:
             raise ValueError("digests exist under another specification")
         self.state_set("hash_spec", str(spec), workspace_id)
 
+    def _digests(self, source_id: int) -> str:
+        return f"{self.folder}/digests/{source_id}"
+
+    def _remove(self, folder: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(folder), True)
+
+    def hash_source(self, source_id: int, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[int, int], None] = lambda done, all_: None, batch: int = 2_000) -> dict[str, int | bool]:
+        """Digest a source's files: cached digests first, then reads in committed batches, all merged into nodes, cache and coverage.
+
+        Returns hashed, cached, errors and cancelled. Batches that a lost or cancelled run committed are merged by the next one; a file that
+        cannot be read is tried again then. Sources without a root folder have nothing to read.
+        """
+        from treeledger.functions.scalars import cache_volume_id
+        from treeledger.operators import hashing
+        from treeledger.scratch import materialize
+
+        source = self.read("sources").where(F.col("id") == source_id).first()
+        report = {"hashed": 0, "cached": 0, "errors": 0, "cancelled": False}
+        if source is None or not source["orig_root_path"]:
+            return report
+        spec, at = self.hash_spec(source["workspace_id"]), now()
+        own = self.read("nodes").where(F.col("source_id") == source_id).withColumn("node_id", F.col("id"))
+        files = materialize(self.spark, hashing.hash_candidates(own, source["hash_min_size"]), "candidates")
+        known = materialize(self.spark, hashing.from_cache(files, self.read("hash_cache"), source["volume_id"], spec), "cached")
+        left = files.join(known, "node_id", "left_anti")
+        self.upsert("scan_progress", self._row("scan_progress", source_id=source_id, phase="hashing", last_cursor=own.where("content_hash IS NOT NULL").count(), updated_at=at), ["source_id"])
+        folder = f"{self._digests(source_id)}/{uuid.uuid5(uuid.NAMESPACE_OID, str(spec)).hex}"
+        phase = hashing.run_hash_scan(self.spark, left, source["orig_root_path"], folder, spec, cancelled, progress, batch)
+        fs, path = self._fs()
+        read = self.spark.read.parquet(folder) if fs.exists(path(folder)) else self.spark.createDataFrame([], "node_id long, content_hash string, hash_kind string, hash_spec string, hash_bytes_read long")
+        read = read.join(left, "node_id", "left_semi").dropDuplicates(["node_id"])
+        new = materialize(self.spark, read.unionByName(known, allowMissingColumns=True), "digests")
+        report["hashed"], report["cached"] = new.where("hash_bytes_read IS NOT NULL").count(), new.where("hash_bytes_read IS NULL").count()
+        report["cancelled"] = phase != "done"
+        report["errors"] = 0 if report["cancelled"] else left.count() - report["hashed"]
+        if report["hashed"] or report["cached"]:
+            names = ("content_hash", "hash_kind", "hash_spec", "hash_bytes_read")
+            nodes = self.read("nodes").join(new.select(F.col("node_id").alias("id"), *[F.col(c).alias(f"new_{c}") for c in names]), "id", "left")
+            has = F.col("new_content_hash").isNotNull()
+            self.write("nodes", nodes.withColumns({c: F.when(has, F.col(f"new_{c}")).otherwise(F.col(c)) for c in names} | {"hashed_at": F.when(has, F.lit(at)).otherwise(F.col("hashed_at"))}))
+            keyed = files.where("dev IS NOT NULL AND inode IS NOT NULL").join(new.where("hash_bytes_read IS NOT NULL").select("node_id", *[F.col(c).alias(f"new_{c}") for c in names]), "node_id")
+            rows = keyed.select(cache_volume_id(F.lit(source["volume_id"]).cast("string"), F.col("dev")).alias("volume_id"), F.col("inode").alias("file_id"), "size", F.coalesce("mtime", F.lit("")).alias("mtime"), *[F.col(f"new_{c}").alias(c) for c in names[:3]], F.lit(at).alias("computed_at"))
+            key = ["volume_id", "file_id", "size", "mtime", "hash_spec"]
+            self.upsert("hash_cache", rows.groupBy(*key).agg(F.min(F.struct("content_hash", "hash_kind", "computed_at")).alias("r")).select(*key, "r.*"), key)
+            done = self.read("nodes").where((F.col("source_id") == source_id) & F.col("content_hash").isNotNull()).agg(F.count("*").alias("n"), F.sum(F.coalesce("hash_bytes_read", "size")).alias("b")).first()
+            self.update("sources", F.col("id") == source_id, hash_spec=str(spec), hash_coverage_files=done["n"], hash_coverage_bytes=done["b"])
+            self.state_set("hash_spec", str(spec), source["workspace_id"])
+            self._stale(source["workspace_id"])
+        covered = self.read("nodes").where((F.col("source_id") == source_id) & F.col("content_hash").isNotNull()).count()
+        self.upsert("scan_progress", self._row("scan_progress", source_id=source_id, phase=phase, last_cursor=covered, updated_at=now()), ["source_id"])
+        self._remove(self._digests(source_id))
+        return report
+
+    def scan_progress(self, source_id: int) -> tuple[str, int] | None:
+        """Phase and files with digests; `hashing` is a run that was cut off."""
+        row = self.read("scan_progress").where(F.col("source_id") == source_id).first()
+        return (row["phase"], row["last_cursor"]) if row else None
+
+    # Consolidation
+
+    def consolidation_get(self, workspace_id: int) -> tuple[int, DataFrame]:
+        """The workspace's consolidation, made when there is none, and its rows with what their origin says."""
+        plans = self.read("consolidations").where(F.col("workspace_id") == workspace_id)
+        held = plans.orderBy("id").first()
+        at = held["id"] if held else self._next_id("consolidations")
+        if not held:
+            self.append("consolidations", self._row("consolidations", id=at, workspace_id=workspace_id, name="Consolidated"))
+        rows = self.read("consolidation_nodes").where(F.col("consolidation_id") == at)
+        origin = self.read("nodes").select(F.col("id").alias("source_node_id"), "size", F.col("rel_path").alias("origin_path"), F.col("alias_of").isNotNull().alias("is_alias"), F.col("source_id").alias("origin_source_id"))
+        devices = self.read("sources").select(F.col("id").alias("origin_source_id"), F.col("device_label").alias("origin_device"))
+        names = self.read("pathfix_state").where((F.col("workspace_id") == workspace_id) & (F.col("kind") == "cons") & (F.col("new_name") != "")).select(F.col("ref_id").alias("id"), "original_name")
+        joined = rows.join(origin, "source_node_id", "left").join(devices, "origin_source_id", "left").join(names, "id", "left")
+        out = joined.withColumns({"size": F.when(F.col("type") != "directory", F.col("size")), "is_alias": F.coalesce("is_alias", F.lit(False))})
+        return at, out.select(*rows.columns, "size", "origin_device", "origin_path", "is_alias", "origin_source_id", "original_name").orderBy("parent_id", "sort_order", "id")
+
+    def consolidation_add_node(self, consolidation_id: int, parent_id: int | None, name: str, node_type: str, source_node_id: int | None = None) -> int:
+        """A row after its folder's last child; returns its id."""
+        from treeledger.operators.plan_tree import next_position
+
+        at = self._next_id("consolidation_nodes")
+        mine = self.read("consolidation_nodes").where(F.col("consolidation_id") == consolidation_id)
+        self.append("consolidation_nodes", self._row("consolidation_nodes", id=at, consolidation_id=consolidation_id, parent_id=parent_id, name=name, type=node_type, source_node_id=source_node_id, sort_order=next_position(mine, parent_id)))
+        return at
+
+    def consolidation_add_source_subtree(self, consolidation_id: int, parent_id: int | None, source_node_id: int, filter_cross_dup: bool = False) -> DataFrame:
+        """A source's folder and all below it as rows, cross duplicates struck where the filter is on; returns the new rows."""
+        from treeledger.operators.plan_tree import materialize_subtree, next_position
+        from treeledger.operators.tree import closure_by_path
+        from treeledger.scratch import materialize
+
+        nodes = self.read("nodes").withColumn("node_id", F.col("id"))
+        root = nodes.where(F.col("id") == source_node_id).select("source_id", "rel_path").first()
+        if root is None:
+            return self.spark.createDataFrame([], SCHEMAS["consolidation_nodes"])
+        inside = nodes.where((F.col("source_id") == root["source_id"]) & ((F.col("rel_path") == root["rel_path"]) | F.col("rel_path").startswith(root["rel_path"] + "/")))
+        mine = self.read("consolidation_nodes").where(F.col("consolidation_id") == consolidation_id)
+        rows = materialize_subtree(inside, closure_by_path(inside), self.read("dup_annot"), source_node_id, consolidation_id, parent_id, next_position(mine, parent_id), self._next_id("consolidation_nodes"), filter_cross_dup)
+        rows = materialize(self.spark, rows, "rows")
+        self.append("consolidation_nodes", rows)
+        return rows
+
+    def _plan_closure(self, rows: DataFrame) -> DataFrame:
+        from treeledger.operators.tree import closure_by_parent
+
+        return closure_by_parent(self.spark, rows.select(F.col("id").alias("node_id"), "parent_id"))
+
+    def consolidation_move_node(self, node_id: int, parent_id: int | None, sort_order: int) -> None:
+        """A row under another parent; refused when that lies below it."""
+        from treeledger.operators.plan_tree import move_node
+
+        rows = self.read("consolidation_nodes")
+        self.write("consolidation_nodes", move_node(rows, self._plan_closure(rows), node_id, parent_id, sort_order))
+
+    def consolidation_delete_nodes(self, ids: list[int]) -> None:
+        """Rows and all below them."""
+        from treeledger.operators.plan_tree import delete_nodes
+
+        rows = self.read("consolidation_nodes")
+        self.write("consolidation_nodes", delete_nodes(rows, self._plan_closure(rows), ids))
+
+    def consolidation_set_done(self, ids: list[int], value: bool) -> None:
+        """The done mark of exactly these rows."""
+        self.update("consolidation_nodes", F.col("id").isin(*ids), done=value)
+
+    def consolidation_set_struck(self, ids: list[int], value: bool) -> None:
+        """The strike of exactly these rows; what lies below inherits it when read."""
+        self.update("consolidation_nodes", F.col("id").isin(*ids), struck=value)
+
+    # Path limits
+
+    def path_tree(self, workspace_id: int, limit: int = 260) -> DataFrame:
+        """id, path, length, measured, over_limit of the rows of the workspace's consolidations."""
+        from treeledger.operators.plan_tree import path_lengths
+
+        rows = self.read("consolidation_nodes").join(self.read("consolidations").where(F.col("workspace_id") == workspace_id).select(F.col("id").alias("consolidation_id")), "consolidation_id", "left_semi")
+        return path_lengths(self.spark, rows, self.read("pathfix_state").where(F.col("workspace_id") == workspace_id), limit=limit)
+
+    def path_rename(self, workspace_id: int, ref_id: int, new_name: str) -> tuple[str, str | None]:
+        """The row's name and, while it is renamed, the original one. An empty name or the original takes a rename back."""
+        from treeledger.operators.plan_tree import rename
+
+        row = self.read("consolidation_nodes").where(F.col("id") == ref_id).first()
+        if row is None:
+            raise ValueError(f"no row {ref_id}")
+        mine = (F.col("workspace_id") == workspace_id) & (F.col("kind") == "cons") & (F.col("ref_id") == ref_id)
+        before = self.read("pathfix_state")
+        held = before.where(mine).select("original_name").first()
+        after = rename(before, workspace_id, "cons", ref_id, row["name"], new_name).withColumn("id", F.coalesce("id", F.lit(self._next_id("pathfix_state")).cast("long")))
+        back = not new_name or (held is not None and new_name == held["original_name"])
+        name = (held["original_name"] if held else row["name"]) if back else new_name
+        original = None if back or new_name == row["name"] and not held else (held["original_name"] if held else row["name"])
+        self.write("pathfix_state", after)
+        self.update("consolidation_nodes", F.col("id") == ref_id, name=name)
+        return name, original
+
     # Matching
 
-    def run_matching(self, workspace_id: int, params=None) -> int:
-        """Match live sources, rebuild groups and annotations; returns the number of groups."""
+    def run_matching(self, workspace_id: int, params=None, progress: Callable[[str, int, int], None] = lambda phase, done, all_: None) -> int:
+        """Match live sources, rebuild groups, annotations and listing digests; returns the number of groups.
+
+        `progress` gets each phase: loading, matching, folders, writing, done.
+        """
+        from treeledger.functions.scalars import node_key
         from treeledger.operators import matching, rollup, tree
         from treeledger.scratch import materialize
 
         params = params or matching.MatchParams()
         sources = self.read("sources").where(F.col("workspace_id") == workspace_id)
+        progress("loading", 0, 4)
         nodes = materialize(self.spark, tree.live(self.read("nodes").withColumn("node_id", F.col("id")), sources), "live")
+        progress("matching", 1, 4)
         groups, skipped = matching.match(self.spark, nodes, params)
         cross = materialize(self.spark, rollup.cross_source(groups, nodes), "cross")
+        progress("folders", 2, 4)
         folders = rollup.overlap_folders(nodes, cross).withColumn("kind", F.lit("folder"))
-        listed = rollup.listing_folders(nodes, rollup.listing_hashes(self.spark, nodes), params.min_size).withColumn("kind", F.lit("folder"))
+        hashes = materialize(self.spark, rollup.listing_hashes(self.spark, nodes), "listings")
+        listed = rollup.listing_folders(nodes, hashes, params.min_size).withColumn("kind", F.lit("folder"))
         found = materialize(self.spark, groups.unionByName(folders.select(*groups.columns)).unionByName(listed.select(*groups.columns)), "found")
         # A group's key is the same in every workspace that holds the same files, so its id names the workspace too.
         found = found.withColumn("group_key", F.concat(F.lit(f"{workspace_id}|"), "group_key"))
+        progress("writing", 3, 4)
         rows = found.groupBy(F.col("group_key").alias("id"), "kind", "confidence", F.col("signal").alias("primary_signal")).agg(F.min("size").alias("size")).withColumn("workspace_id", F.lit(workspace_id).cast("long"))
         old = self.read("match_groups").where((F.col("workspace_id") == workspace_id) & (F.col("kind") != "hardlink")).select(F.col("id").alias("group_id"))
         members = self.read("match_members").join(old, "group_id", "left_anti").unionByName(found.select(F.col("group_key").alias("group_id"), "node_id", F.lit("member").alias("role")))
@@ -210,7 +412,10 @@ class Catalog:
         fresh = rollup.annotations(nodes, groups, cross, skipped, found.where("kind = 'folder'"))
         mine = self.read("nodes").join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("id").alias("node_id"))
         self.write("dup_annot", self.read("dup_annot").join(mine, "node_id", "left_anti").unionByName(with_missing_columns(fresh, "dup_annot")))
+        marks = hashes.select(node_key(F.col("source_id"), F.col("dir_path")).alias("id"), F.col("listing_hash").alias("listed"))
+        self.write("nodes", self.read("nodes").join(marks, "id", "left").withColumn("listing_hash", F.coalesce("listed", "listing_hash")).drop("listed"))
         self.state_set("dedup_stale", "0", workspace_id)
+        progress("done", 4, 4)
         return rows.count()
 
     # Export and import
@@ -280,4 +485,5 @@ class Catalog:
             nodes = nodes.join(ids.withColumnRenamed("old", c), c, "left").withColumn(c, F.col("new")).drop("new")
         self.append("nodes", nodes.withColumn("source_id", F.lit(at).cast("long")))
         self.append("sources", self.read("sources").where(F.col("id") == source_id).withColumns({"id": F.lit(at).cast("long"), "workspace_id": F.lit(workspace_id).cast("long")}))
+        self._stale(workspace_id)
         return at

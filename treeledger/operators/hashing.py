@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from treeledger.functions.regions import HashSpec, plan_regions
 from treeledger.functions.scalars import cache_volume_id
 
 BATCH = 2_000
+ROUNDS = 200
 
 
 def hash_candidates(nodes: DataFrame, min_size: int | Column) -> DataFrame:
@@ -72,21 +74,22 @@ def from_cache(files: DataFrame, cache: DataFrame, volume_id: str | None, spec:
 def run_hash_scan(spark: SparkSession, files: DataFrame, root: str, folder: str, spec: HashSpec, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[int, int], None] = lambda done, all_: None, batch: int = BATCH) -> str:
     """Digest files in committed batches under `folder`; returns `done`, or `hashing` when cancelled in between.
 
-    A batch is what the path's hash says it is, so a resumed run deals alike, and it leaves out every node that `folder` has already.
+    A batch holds `batch` files at least and a 200th of all where that is more, so that the number of rounds is bounded. What
+    `folder` has from runs before is left out; a run's own batches share no file.
     """
     total = files.count()
-    number = max(1, -(-total // batch))
+    number = max(1, min(-(-total // batch), ROUNDS))
     dealt = files.withColumn("batch", F.pmod(F.xxhash64("node_id"), F.lit(number)))
+    try:
+        dealt = dealt.join(spark.read.parquet(folder).select("node_id"), "node_id", "left_anti")
+    except AnalysisException as e:  # no batch is committed yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    tasks = max(1, min(-(-total // number), max(32, -(-total // (number * BATCH)))))
     for i in range(number):
         if cancelled():
             return "hashing"
-        left = dealt.where(F.col("batch") == i)
-        try:
-            left = left.join(spark.read.parquet(folder).select("node_id"), "node_id", "left_anti")
-        except Exception as e:  # noqa: BLE001  no batch is committed yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        read_digests(left, root, spec).where("error IS NULL").drop("error").write.mode("append").parquet(folder)
+        read_digests(dealt.where(F.col("batch") == i), root, spec, tasks).where("error IS NULL").drop("error").write.mode("append").parquet(folder)
         progress(i + 1, number)
     return "done"
 
