@@ -550,3 +550,27 @@ def s1_tree_json(spark, sf_dir):
     langs = files.groupBy("source").agg(F.collect_list(F.struct(F.lit("directory").alias("type"), F.col("lang").alias("name"), "contents")).alias("contents"))
     texts = langs.select("source", F.to_json(F.array(F.struct(F.lit("directory").alias("type"), F.lit(".").alias("name"), F.array(F.struct(F.lit("directory").alias("type"), F.lit("top").alias("name"), "contents")).alias("contents")))).alias("json"))
     return flatten(texts, "source", "json").select(F.col("document"), "rel_path", "name", "type", "size", "depth")
+
+
+@query("t7_count_below", SHELF_SQL + "SELECT ancestor_id AS node_id, count(*) AS n_below FROM closure JOIN nodes USING (node_id) WHERE type = 'link' GROUP BY ancestor_id")
+def t7_count_below(spark, sf_dir):
+    nodes = _shelf(spark, sf_dir)
+    return browse.count_below(nodes, tree.closure_by_path(nodes.where("type = 'directory'")), F.col("type") == "link")
+
+
+@query("t7_selection_roots", SHELF_SQL + ", chosen AS (SELECT node_id FROM nodes WHERE contains(name, '7')) SELECT node_id FROM chosen WHERE node_id NOT IN (SELECT c.node_id FROM closure c JOIN chosen a ON a.node_id = c.ancestor_id)")
+def t7_selection_roots(spark, sf_dir):
+    nodes = _shelf(spark, sf_dir)
+    chosen = nodes.where(F.col("name").contains("7"))
+    return browse.selection_roots(chosen.select("node_id"), tree.closure_by_path(chosen))
+
+
+@query("f16_times", SHELF_SQL + "SELECT node_id, CASE WHEN mtime IS NULL THEN '—' ELSE replace(mtime, '_', ' ') END AS shown FROM nodes")
+def f16_times(spark, sf_dir):
+    return corpora.shelf(spark, sf_dir).select("node_id", s.format_time(F.col("mtime")).alias("shown"))
+
+
+@query("f18_paths", "SELECT page_id, array_to_string(list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: x <> ''), '/') AS joined, len(list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: x <> '')) AS n_segments FROM pages")
+def f18_paths(spark, sf_dir):
+    parts = s.path_segments(F.col("url"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", s.join_path(parts).alias("joined"), F.size(parts).cast("long").alias("n_segments"))
