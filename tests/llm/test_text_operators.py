@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -280,6 +281,49 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, common):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain_components(docs, 3, 90)
 
 
+def test_block_of_near_copies_that_do_not_link():
+    """Sets that share most n-grams and still are apart must all be met: 3,000 of them in seconds, and links as by comparing pairs."""
+    r = np.random.default_rng(16)
+    base = np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64))
+
+    def copy(most):
+        keep = np.ones(len(base), bool)
+        for at in r.integers(0, len(base) - 3, r.integers(1, most)):
+            keep[at : at + 3] = False
+        return np.unique(np.concatenate([base[keep], r.integers(0, 1 << 63, int((~keep).sum())).astype(np.uint64)]))
+
+    began = time.process_time()
+    ngram_join.block_links(list(range(3000)), [copy(20) for _ in range(3000)], 90)
+    assert time.process_time() - began < 20
+
+    sets = [copy(12) for _ in range(80)]
+    plain = [set(s.tolist()) for s in sets]
+    guests, known = (r.random(80) < 0.3).tolist(), r.integers(0, 60, 80).tolist()
+    for guest, have in ((None, None), (guests, known)):
+        want = {(i, j) for i in range(80) for j in range(i) if 100 * len(plain[i] & plain[j]) >= 90 * len(plain[i] | plain[j]) and (guest is None or guest[i] != guest[j])}
+        found = ngram_join.block_links(list(range(80)), sets, 90, have, guest)
+        assert want and {(max(x), min(x)) for x in found} <= want
+        label = list(have or range(80))
+        for links in (found, want):
+            for a, b in links:
+                if label[a] != label[b]:
+                    assert links is found
+                    label = [label[b] if x == label[a] else x for x in label]
+
+
+def test_ngram_sets_of_a_batch():
+    texts = ["", None, "a", " a", "A  b", "a b c", "a b c d", "é É x\x0by\tz\x1cq", " " * 10, "x" * 1000 + " y", "a b c a b c"] * 2
+    flat, ends = ngram_join.ngram_sets(pa.array(texts).slice(1), 3)
+    seen = {}
+    for text, x, y in zip(texts[1:], ends[:-1], ends[1:], strict=True):
+        w = (text or "").encode().lower().split()
+        k = min(3, len(w))
+        want = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+        got = flat[x:y].tolist()
+        assert got == sorted(set(got)) == ngram_join.ngrams(text, 3).tolist() and len(got) == len(want)
+        assert seen.setdefault(frozenset(got), want) == want
+
+
 def test_signatures_are_shared_by_linked_sets():
     r = np.random.default_rng(5)
     for percent in (80, 90):

@@ -1,4 +1,4 @@
-"""Jaccard self-join on word n-grams by a token-group matrix, and the components of its links.
+"""Jaccard self-join on word n-grams by counts in blocks, and the components of its links.
 
 Two documents link when 100 * |A and B| >= percent * |A or B|. The join is exact up to 64-bit hashing of n-grams:
 
@@ -7,12 +7,13 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The join is exact
    into, so some part is equal in both; classes that share a part fall into one block, named after the smallest
    class with that part, its representative. A part has about ten n-grams, so a passage or line that many documents share does not
    bring them together, as single n-grams would.
-3. In a block, similar documents form groups, and a matrix from n-gram to groups holds each group's token union. A
-   document's n-grams are counted against the matrix; a group whose union holds under `percent` of them cannot hold a
-   link and stays shut, the others are opened and compared, but for members already in the same component.
+3. In a block, sizes of intersections are counted exactly for many documents at once: n-grams that one in FREQUENT holds by a
+   product of 0-1 matrices, rarer ones along lists of their documents; n-grams of one document count for nothing. Only documents
+   whose sizes allow a link are met.
 4. A block larger than TILE_NGRAMS is cut into shards, and the representative goes to each: members that link with
    it, or with one that does, need not meet across shards any more. Only the rest of a block, those outside its largest component, is
-   then compared with the other shards. So a large group of near copies costs in proportion to its size.
+   then compared with the other shards, as guests that do not meet each other there. So a large group of near copies that link costs
+   in proportion to its size; those that share a part and do not link are compared in pairs.
 5. The links found span the components; alternating large-star and small-star steps join them.
 
 Joins on keys that many rows may share (a part, a block, a class) are plain sort-merge joins, whose skewed partitions adaptive execution
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.common import DOCUMENT, at_work, by_bytes, discard, document_key, materialize
 
-WORDS_KEPT = 300_000
 TILE_NGRAMS = 300_000
-GROUP_MEMBERS = 64
+#: Bytes of text hashed at once; cells counted at once; an n-gram of one document in FREQUENT goes to the matrix product.
+CHUNK, CELLS, FREQUENT = 1 << 18, 1 << 22, 32
 #: In classes of so few parts, documents with an empty part are hashed into EXTRA more partitions: the part that a link has
 #: in common might be the empty one, which is not used.
 FEW_PARTS, EXTRA = 32, 6
@@ -41,7 +42,7 @@ GROWTH = 1.5
 #: A part is common when it is in 1/COMMON of a sample of one class in SAMPLED, or in 1/COMMON of LEAST_SAMPLE classes of it.
 COMMON, SAMPLED, LEAST_SAMPLE = 512, 64, 8192
 
-_words: dict[bytes, int] = {}
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,27 +52,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def ngrams(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text's words (A-Z in lower case, cut at ASCII white space).
+def _places(at: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a word."""
+    return _mix((at.astype(np.uint64) + np.uint64(1)) * _GOLDEN) | np.uint64(1)
+
+
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+#: A value for each byte: A-Z have those of a-z, white space none.
+_BYTES = _mix(np.arange(1000, 1256, dtype=np.uint64) * _GOLDEN)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_BYTES[_SPACE] = 0
+_PLACES = _places(np.arange(256))
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    """Where runs of these lengths begin, and where the last one ends."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each run of these lengths."""
+    ends = _ends(lengths)
+    return np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each word, from its start to the next one's; white space in between counts for nothing."""
+    bounds = np.append(starts, len(data))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        lengths = np.diff(bounds[i : j + 1])
+        at = _within(lengths)
+        values = _BYTES[data[bounds[i] : bounds[j]]]
+        values *= _PLACES[at] if lengths.max() <= len(_PLACES) else _places(at)
+        out[i:j] = np.add.reduceat(values, bounds[i:j] - bounds[i])
+        i = j
+    return _mix(out)
+
+
+def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct n-grams of each text's words (A-Z in lower case, cut at ASCII white space), one text after the other, and their bounds.
 
     With fewer than n words the whole sequence is one n-gram; without words there is none.
     """
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    known = _words
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    total = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - k + 1 + i])
-    return np.unique(total)
+    none = np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    if not len(texts):
+        return none
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if at[0] == at[-1]:
+        return none
+    data, at = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    space = _SPACE[data]
+    first = np.empty(len(data), bool)
+    first[1:] = space[:-1]
+    first[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.flatnonzero(first & ~space)
+    del space, first
+    words = np.searchsorted(starts, at)
+    h, lengths = _word_hashes(data, starts), np.diff(words)
+    k = np.minimum(n, lengths)
+    counts = np.where(lengths > 0, lengths - k + 1, 0)
+    ends = _ends(counts)
+    at, k = _within(counts) + np.repeat(words[:-1], counts), np.repeat(k, counts)
+    total = k.astype(np.uint64)
+    for i in range(n):
+        more = _mix(total * _GOLDEN + h[np.minimum(at + i, len(h) - 1)])
+        total = np.where(k > i, more, total)
+    fresh = np.ones(len(total) + 1, bool)
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        total[x:y].sort()
+    fresh[1:-1] = total[1:] != total[:-1]
+    fresh[ends] = True
+    fresh = fresh[:-1]
+    return total[fresh], _ends(fresh)[ends]
+
+
+def ngrams(text: str | None, n: int) -> np.ndarray:
+    """The n-grams of one text; see ngram_sets."""
+    return ngram_sets(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.large_binary()), n)[0]
 
 
 def classes(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +143,38 @@ def classes(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
     return tops, tops * (100 - percent) // percent + 1
 
 
-def signatures(s: np.ndarray, percent: int, tops: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Hashes of the non-empty parts of a set, in its own class and in the one below where links may reach."""
-    c = int(np.searchsorted(tops, len(s)))
-    out = []
-    for at in {c, c - 1} if c and -(-len(s) * percent // 100) <= tops[c - 1] else {c}:
-        m = int(parts[at])
+def signature_sets(flat: np.ndarray, ends: np.ndarray, percent: int, tops: np.ndarray, parts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the non-empty parts of these rows' sets, each in its own class and in the one below where links may reach, and the row of each hash, in order."""
+    sizes = np.diff(ends)
+    own = np.searchsorted(tops, sizes)
+    rows = rows[sizes[rows] > 0]
+    low = rows[own[rows] > 0]
+    low = low[-(-sizes[low] * percent // 100) <= tops[own[low] - 1]]
+    found, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for rows, at in ((rows, own[rows]), (low, own[low] - 1)):  # noqa: B020, PLR1704
         for seed in range(1 + EXTRA):
-            salt = np.uint64((at << 8 | seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            part = (_mix(s + salt) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            numbers, begin = np.unique(part[order], return_index=True)
-            sums = np.add.reduceat(_mix(s[order] ^ salt), begin)
-            out.append(_mix(sums + _mix(numbers.astype(np.uint64) + salt)))
-            if m > FEW_PARTS or len(numbers) == m:
+            if not len(rows):
                 break
-    return np.unique(np.concatenate(out))
+            m, lengths = parts[at], sizes[rows]
+            salt = ((at << 8) | seed).astype(np.uint64) * _GOLDEN
+            s, salts = flat[_within(lengths) + np.repeat(ends[rows], lengths)], np.repeat(salt, lengths)
+            base = _ends(m)
+            slot = ((_mix(s + salts) >> np.uint64(32)) * np.repeat(m, lengths).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base[:-1], lengths)
+            sums, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+            np.add.at(sums, slot, _mix(s ^ salts))
+            filled[slot] = True
+            found.append(_mix(sums + _mix(_within(m).astype(np.uint64) + np.repeat(salt, m)))[filled])
+            of.append(np.repeat(rows, m)[filled])
+            again = (m <= FEW_PARTS) & (np.add.reduceat(filled.astype(np.int64), base[:-1]) < m)
+            rows, at = rows[again], at[again]
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(found)[order], of[order]
+
+
+def signatures(s: np.ndarray, percent: int, tops: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The signatures of one set; see signature_sets."""
+    return signature_sets(s, np.array([0, len(s)]), percent, tops, parts, np.zeros(1, np.int64))[0]
 
 
 def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -108,61 +184,102 @@ def prepared(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         import hashlib
 
-        at_work("ngrams", _words.clear)
+        at_work("ngrams", lambda: None)
         for b in batches:
-            sizes, digests, flat, ends = [], [], [], [0]
-            for text in b.column(3):
-                s = ngrams(text.as_py(), n)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs = signatures(s, percent, tops, counts) if len(s) else s
-                flat.append(sigs)
-                ends.append(ends[-1] + len(sigs))
-            values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*DOCUMENT, "n_shingles", "digest", "parts"])
+            flat, ends = ngram_sets(b.column(3), n)
+            sizes = np.diff(ends)
+            # A set that a single n-gram more takes too far from itself links with no other; it needs no parts.
+            rows = np.flatnonzero(100 * sizes >= percent * (sizes + 1))
+            values, of = signature_sets(flat, ends, percent, tops, counts, rows)
+            digests = [hashlib.blake2b(flat[x:y], digest_size=16).digest() if x < y else None for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            found = _ends(np.bincount(of, minlength=b.num_rows)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(found), pa.array(values.view(np.int64)))], [*DOCUMENT, "n_shingles", "digest", "parts"])
 
     return by_bytes(docs.select(*document_key(), "text")).mapInArrow(run, "nameless boolean, id long, text_key binary, n_shingles long, digest binary, parts array<long>")
 
 
-def block_links(ids: list[int], sets: list[frozenset[int]], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the documents of a block, found with a token-group matrix. `known`: components that they are in already."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    parent = list(range(len(ids)))
-    if known:
-        first: dict[int, int] = {}
-        parent = [first.setdefault(c, i) for i, c in enumerate(known)]
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    matrix: dict[int, list[int]] = {}
-    groups: list[list[int]] = []
-    links = []
-    for q in order:
-        s, overlap = sets[q], {}
-        for t in s:
-            for g in matrix.get(t, ()):
-                overlap[g] = overlap.get(g, 0) + 1
-        for g, held in sorted(overlap.items(), key=lambda x: -x[1]):
-            if 100 * held < percent * len(s):
+class _Shared:
+    """Sizes of the intersections of a block's sets, which come in order of size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        sizes = np.fromiter(map(len, sets), np.int64, self.n)
+        flat, of = np.concatenate(sets), np.repeat(np.arange(self.n), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), flat[1:] != flat[:-1]]))
+        held = np.diff(np.append(new, len(flat)))
+        # The matrix takes what it counts faster than lists do, and no more than four times CELLS.
+        most = max(1, 4 * CELLS // self.n)
+        often = np.flatnonzero((held > 1) & (held * FREQUENT >= self.n))
+        often = often[np.argsort(-held[often], kind="stable")[:most]]
+        column = np.full(len(held), -1)
+        column[often] = np.arange(len(often))
+        column = np.repeat(column, held)
+        self.matrix = np.zeros((self.n, len(often)), np.float32)
+        self.matrix[of[column >= 0], column[column >= 0]] = 1
+        few = np.repeat(held > 1, held) & (column < 0)
+        # Each document's rarer n-grams, as the lists of documents that hold them: where a list begins and how long it is.
+        self.lists = of
+        entry = np.flatnonzero(few)
+        entry = entry[np.argsort(of[entry], kind="stable")]
+        self.begin, self.long = np.repeat(new, held)[entry], np.repeat(held, held)[entry]
+        self.ends = np.searchsorted(of[entry], np.arange(self.n + 1))
+
+    def rows(self, a: int, b: int, low: int) -> np.ndarray:
+        """Of documents a to b with documents low to b."""
+        width = b - low
+        out = (self.matrix[a:b] @ self.matrix[low:b].T).astype(np.int32) if self.matrix.shape[1] else np.zeros((b - a, width), np.int32)
+        x, stop = self.ends[a], self.ends[b]
+        total = _ends(self.long[x:stop])
+        own = np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1]))
+        i = 0
+        while i < stop - x:
+            j = max(i + 1, int(np.searchsorted(total, total[i] + CELLS, "right")) - 1)
+            lengths = self.long[x + i : x + j]
+            other = self.lists[_within(lengths) + np.repeat(self.begin[x + i : x + j], lengths)] - low
+            cell = np.repeat(own[i:j], lengths) * width + other
+            out += np.bincount(cell[(other >= 0) & (other < width)], minlength=out.size).reshape(out.shape).astype(np.int32)
+            i = j
+        return out
+
+
+def block_links(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None, guests: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the documents of a block. `known`: components that they are in already; with `guests`, only pairs of a guest and another are met."""
+    n = len(ids)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    order = np.argsort(sizes, kind="stable")
+    sizes, sets = sizes[order], [sets[i] for i in order]
+    label = np.unique(np.asarray(known)[order], return_inverse=True)[1] if known else np.arange(n)
+    guest = np.asarray(guests)[order] if guests else None
+    shared = _Shared(sets)
+    # Sizes that are too far apart need not be met.
+    lows = np.searchsorted(100 * sizes, percent * sizes)
+    links, a = [], 0
+    while a < n:
+        low = int(lows[a])
+        b = min(n, a + max(1, min(CELLS // (n - low), max(256, (a - low) // 4))))
+        both = shared.rows(a, b, low)
+        near = 100 * both >= percent * (sizes[a:b, None] + sizes[None, low:b] - both)
+        if guest is not None:
+            near &= guest[a:b, None] != guest[None, low:b]
+        x, y = np.nonzero(near)
+        x, y = x + a, y + low
+        # Rounds of hooking each component to a lesser one that it links with.
+        while True:
+            apart = (label[x] != label[y]) & (y < x)
+            x, y = x[apart], y[apart]
+            if not len(x):
                 break
-            for d in groups[g]:
-                if root(d) != root(q) and 100 * len(sets[d]) >= percent * len(s):
-                    both = len(s & sets[d])
-                    if 100 * both >= percent * (len(s) + len(sets[d]) - both):
-                        links.append((ids[q], ids[d]))
-                        parent[root(q)] = root(d)
-        g = max((x for x in overlap if len(groups[x]) < GROUP_MEMBERS and 2 * overlap[x] >= len(s)), key=overlap.get, default=None)
-        if g is None:
-            g = len(groups)
-            groups.append([])
-        groups[g].append(q)
-        for t in s:
-            at = matrix.setdefault(t, [])
-            if g not in at:
-                at.append(g)
+            p, q = label[x], label[y]
+            high, at = np.unique(np.maximum(p, q), return_index=True)
+            links += [(ids[i], ids[j]) for i, j in zip(order[x[at]].tolist(), order[y[at]].tolist(), strict=True)]
+            up = np.arange(n)
+            up[high] = np.minimum(p, q)[at]
+            while (up != (far := up[up])).any():
+                up = far
+            label = up[label]
+        a = b
     return links
 
 
@@ -170,24 +287,25 @@ def _streamed_links(n: int, percent: int):
     """For mapInArrow over rows ordered by (block, i, j) with known components: the links of one group after the other."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, known = None, [], [], []
-        at_work("ngrams", _words.clear)
+        key, ids, sets, known, guests = None, [], [], [], []
+        at_work("ngrams", lambda: None)
 
         def out():
-            found = block_links(ids, sets, percent, known)
+            found = block_links(ids, sets, percent, known, guests if any(guests) else None)
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
         for batch in batches:
-            blocks, i, j, members, components_, texts = (batch.column(k) for k in range(6))
-            for k in range(batch.num_rows):
-                now = (blocks[k].as_py(), i[k].as_py(), j[k].as_py())
-                if now != key:
+            flat, ends = ngram_sets(batch.column(6), n)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(6)), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            for block, i, j, member, component, guest, x, y in rows:
+                if (block, i, j) != key:
                     if len(ids) > 1:
                         yield out()
-                    key, ids, sets, known = now, [], [], []
-                ids.append(members[k].as_py())
-                known.append(components_[k].as_py())
-                sets.append(frozenset(ngrams(texts[k].as_py(), n).tolist()))
+                    key, ids, sets, known, guests = (block, i, j), [], [], [], []
+                ids.append(member)
+                known.append(component)
+                guests.append(guest)
+                sets.append(flat[x:y])
         if len(ids) > 1:
             yield out()
 
@@ -249,14 +367,14 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataF
     shape = "a long, b long"
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
-        groups = rows.join(texts, "member").select("block", "i", "j", "member", "component", "text")
+        groups = rows.join(texts, "member").select("block", "i", "j", "member", "component", "guest", "text")
         return materialize(spark, by_bytes(groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")).mapInArrow(_streamed_links(n, percent), shape), name)
 
-    none = F.lit(0).alias("j")
+    none, no = F.lit(0).alias("j"), F.lit(False).alias("guest")
     home = F.pmod(F.xxhash64("block"), F.col("shards")).cast("int")
     envoys = dealt.where("shards > 1").select("block", "shards").distinct().select("block", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"))
-    envoys = envoys.where("i <> home").select("block", "i", none, F.col("block").alias("member"), F.col("block").alias("component"))
-    links = compared(dealt.select("block", F.col("shard").alias("i"), none, "member", key.alias("component")).union(envoys), "links")
+    envoys = envoys.where("i <> home").select("block", "i", none, F.col("block").alias("member"), F.col("block").alias("component"), no)
+    links = compared(dealt.select("block", F.col("shard").alias("i"), none, "member", key.alias("component"), no).union(envoys), "links")
 
     split = dealt.where("shards > 1")
     if split.isEmpty():
@@ -270,9 +388,9 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataF
         return links
     rests = rest.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("rests"))
     guests = rest.join(rests, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"), F.pmod(F.xxhash64(key, F.lit(1)), F.col("rests")).cast("int").alias("j"), F.lit(True).alias("guest"), "member", "component", "shard")
-    hosts = split.join(rests, "block").select("block", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"), "member", "component")
-    # Guests meet their own shard where they are already.
-    guests = guests.where("i <> shard").select("block", "i", "j", "member", "component")
+    hosts = split.join(rests, "block").select("block", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"), "member", "component", no)
+    # Guests meet their own shard where they are already, and each other as hosts of their shards.
+    guests = guests.where("i <> shard").select("block", "i", "j", "member", "component", "guest")
     return links.union(compared(hosts.union(guests), "more-links"))
 
 
