@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,6 +55,22 @@ def test_caps_skip_whole_groups(spark):
     assert found == [] and len(skipped) == 320
 
 
+def test_cliques_of_dense_clusters_are_counted_without_listing_them():
+    """Files without digests that match each other and, each by itself, every file with one: 2^u * (h + 1) cliques, of which h are maximal."""
+    began = time.process_time()
+    for u, h in ((10, 20), (13, 23), (13, 24), (15, 30), (40, 60), (150, 150)):
+        for shift in range(10):
+            edges = [(a + shift, b + shift) for a, b in itertools.combinations(range(u + h), 2) if a < u]
+            count = 2**u * (h + 1)
+            found = matching.cliques(edges, 3, 200_000)
+            if count + 3 > 200_000:
+                assert found is None
+            else:
+                assert sorted(found) == [[*range(shift, u + shift), u + k + shift] for k in range(h)]
+                assert matching.cliques(edges, 3, count + 3) is not None and matching.cliques(edges, 3, count + 2) is None
+    assert time.process_time() - began < 10
+
+
 def test_cliques_against_brute_force():
     r = random.Random(3)
     for _ in range(150):
