@@ -281,6 +281,26 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, common):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain_components(docs, 3, 90)
 
 
+def test_a_large_group_whose_members_mostly_do_not_link(spark, monkeypatch):
+    """Near copies too far from each other to link cost in proportion to their number; a few that link across shards are found."""
+    r = random.Random(18)
+    base = words(r, 80).split()
+    docs = []
+    for k in range(0, 300, 2):
+        v = list(base)
+        for _ in range(r.choice((0, 1, 4, 5, 8, 12, 16))):
+            v[r.randrange(len(v))] = f"x{r.randint(0, 10**6)}"
+        docs += [(k, " ".join(v)), (k + 1, " ".join([*v[:-1], f"z{k}"] if k % 3 else v[: 80 - k % 30]))]
+    rows, by_bytes = [], ngram_join.by_bytes
+    monkeypatch.setattr(ngram_join, "by_bytes", lambda df: (rows.append(df.count()), by_bytes(df))[1])
+    for percent in (80, 90):
+        rows.clear()
+        got = ngram_join.join_documents(spark, table(spark, docs), 3, percent, tile=1500).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain_components(docs, 3, percent)
+        # All documents, members of shards, and what is read again to meet other shards.
+        assert len(rows) > 2 and sum(rows[2:]) < 10 * len(docs), rows
+
+
 def test_block_of_near_copies_that_do_not_link():
     """Sets that share most n-grams and still are apart must all be met: 3,000 of them in seconds, and links as by comparing pairs."""
     r = np.random.default_rng(16)

@@ -11,9 +11,10 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The join is exact
    product of 0-1 matrices, rarer ones along lists of their documents; n-grams of one document count for nothing. Only documents
    whose sizes allow a link are met.
 4. A block larger than TILE_NGRAMS is cut into shards, and the representative goes to each: members that link with
-   it, or with one that does, need not meet across shards any more. Only the rest of a block, those outside its largest component, is
-   then compared with the other shards, as guests that do not meet each other there. So a large group of near copies that link costs
-   in proportion to its size; those that share a part and do not link are compared in pairs.
+   it, or with one that does, need not meet across shards any more. Only the rest of a block, those outside its largest component, then
+   meets others, of all blocks with a rest at once: sets that link share one of their rarest n-grams (see _far_links), so pairs
+   that share one, and could still link by what is left of both, are compared. A large group of near copies costs in proportion to its
+   size, whether they link or not, but for those that differ from most others in hardly more than a link allows.
 5. The links found span the components; alternating large-star and small-star steps join them.
 
 Joins on keys that many rows may share (a part, a block, a class) are plain sort-merge joins, whose skewed partitions adaptive execution
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from treeledger.llm.common import DOCUMENT, at_work, by_bytes, discard, document_key, materialize
 
 TILE_NGRAMS = 300_000
+#: Rows of n-grams that leave Python at once.
+GRAM_ROWS = 1 << 17
 #: Bytes of text hashed at once; cells counted at once; an n-gram of one document in FREQUENT goes to the matrix product.
 CHUNK, CELLS, FREQUENT = 1 << 18, 1 << 22, 32
 #: In classes of so few parts, documents with an empty part are hashed into EXTRA more partitions: the part that a link has
@@ -284,27 +287,25 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int, known: lis
 
 
 def _streamed_links(n: int, percent: int):
-    """For mapInArrow over rows ordered by (block, i, j) with known components: the links of one group after the other."""
+    """For mapInArrow over block, shard, member and text, ordered by block and shard: the links of one shard after the other."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, known, guests = None, [], [], [], []
+        key, ids, sets = None, [], []
         at_work("ngrams", lambda: None)
 
         def out():
-            found = block_links(ids, sets, percent, known, guests if any(guests) else None)
+            found = block_links(ids, sets, percent)
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
         for batch in batches:
-            flat, ends = ngram_sets(batch.column(6), n)
-            rows = zip(*(batch.column(k).to_pylist() for k in range(6)), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-            for block, i, j, member, component, guest, x, y in rows:
-                if (block, i, j) != key:
+            flat, ends = ngram_sets(batch.column(3), n)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            for block, shard, member, x, y in rows:
+                if (block, shard) != key:
                     if len(ids) > 1:
                         yield out()
-                    key, ids, sets, known, guests = (block, i, j), [], [], [], []
+                    key, ids, sets = (block, shard), [], []
                 ids.append(member)
-                known.append(component)
-                guests.append(guest)
                 sets.append(flat[x:y])
         if len(ids) > 1:
             yield out()
@@ -354,6 +355,90 @@ def _blocks(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return materialize(spark, found.distinct(), "blocks")
 
 
+def _member_ngrams(n: int):
+    """For mapInArrow over member and text: a row for each n-gram, with the number of the member's."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at_work("ngrams", lambda: None)
+        for batch in batches:
+            flat, ends = ngram_sets(batch.column(1), n)
+            sizes = np.diff(ends)
+            columns = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), flat.view(np.int64)]
+            for i in range(0, len(flat), GRAM_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + GRAM_ROWS], pa.int64()) for c in columns], ["member", "n", "gram"])
+
+    return run
+
+
+def _checked_pairs(n: int, percent: int):
+    """For mapInArrow over (first, member, text) ordered by first, where its own text comes before the others: those that link with it."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at_work("ngrams", lambda: None)
+        own = np.empty(0, np.uint64)
+        for batch in batches:
+            flat, ends = ngram_sets(batch.column(2), n)
+            first, member, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(ends)
+            cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            found = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x < y and member[x] == first[x]:
+                    own, x = flat[ends[x] : ends[x + 1]].copy(), x + 1  # noqa: PLW2901
+                if x < y:
+                    others = flat[ends[x] : ends[y]]
+                    hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                    both = np.diff(_ends(hit)[ends[x : y + 1] - ends[x]])
+                    found.append(np.flatnonzero(100 * both >= percent * (len(own) + sizes[x:y] - both)) + x)
+            if found:
+                at = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(first[at], pa.int64()), pa.array(member[at], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _far_links(spark: SparkSession, split: DataFrame, rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between the rest of blocks and members of other components.
+
+    N-grams are ordered by the number of members that hold them. Of two sets that link, the first n-gram that they share leaves at least the
+    intersection that a link takes in both, so only pairs that share such an n-gram are looked at; those of one member are passed over.
+    """
+    members = split.join(rest.select("block").distinct(), "block").select("member", "component").distinct()
+    members = members.join(rest.select("member", F.lit(True).alias("guest")).distinct(), "member", "left").withColumn("guest", F.coalesce("guest", F.lit(False)))
+    members = materialize(spark, members, "far-members")
+    grams = by_bytes(texts.join(members.select("member"), "member").select("member", "text")).mapInArrow(_member_ngrams(n), "member long, n long, gram long")
+    grams = materialize(spark, grams, "far-ngrams")
+    held = grams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    shared = grams.join(held.hint("merge"), "gram").groupBy("member", "n").agg(F.collect_list(F.struct("held", "gram")).alias("grams"))
+    most = F.expr(f"size(grams) - cast(ceil(n * {percent}L / 100) as int) + 1")
+    shared = shared.where(most > 0).select("member", "n", (F.col("n") - F.size("grams")).alias("alone"), F.posexplode(F.slice(F.sort_array("grams"), F.lit(1), most)))
+    postings = materialize(spark, shared.select("member", "n", F.col("col.gram").alias("gram"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left")), "postings")
+    discard(spark, grams)
+
+    def met(members: DataFrame, new: str, name: str) -> DataFrame:
+        rows = postings.join(members, "member")
+        # An n-gram in one component, or that no guest has so early, brings nothing together.
+        useful = rows.groupBy("gram").agg(F.max("guest").alias("some"), F.min("component").alias("low"), F.max("component").alias("high")).where("some and low <> high").select("gram")
+        rows = rows.join(useful.hint("merge"), "gram", "left_semi")
+        x, y = rows.where("guest").alias("x"), rows.alias("y")
+        enough = " and ".join(f"{100 + percent}L * {s}.left >= {percent}L * (x.n + y.n)" for s in "xy")
+        pairs = x.join(y.hint("merge"), F.expr(f"x.gram = y.gram and x.component <> y.component and {new} and {enough}"))
+        pairs = materialize(spark, pairs.select(F.least("x.member", "y.member").alias("first"), F.greatest("x.member", "y.member").alias("member")).distinct(), "pairs")
+        both = pairs.union(pairs.select("first", F.col("first").alias("member")).distinct()).join(texts.hint("merge"), "member").select("first", "member", "text")
+        order = ["first", F.col("member") != F.col("first")]
+        return materialize(spark, by_bytes(both.repartition("first").sortWithinPartitions(*order)).mapInArrow(_checked_pairs(n, percent), "a long, b long"), name)
+
+    # One of each component first: shards may hold parts of one large component, whose members then need not be met in pairs.
+    delegates = members.groupBy("component").agg(F.min(F.struct(~F.col("guest"), "member"))["member"].alias("member")).select("member", F.lit(True).alias("delegate"))
+    members = materialize(spark, members.join(delegates, "member", "left").withColumn("delegate", F.coalesce("delegate", F.lit(False))), "delegates")
+    links = met(members.where("delegate"), "true", "far-links")
+    if not links.isEmpty():
+        of = members.select("member", "component")
+        merged = links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        merged = components(spark, merged).toDF("component", "merged")
+        members = materialize(spark, members.join(merged, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged"), "merged")
+    return links.union(met(members, "not (x.delegate and y.delegate)", "more-links"))
+
+
 def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
     """Links (a, b) that span the components of the classes."""
     key = F.col("member")
@@ -364,17 +449,12 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataF
     names = sets.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("member"), *DOCUMENT)
     texts = docs.select(*document_key(), "text").join(names.hint("merge"), DOCUMENT).groupBy("member").agg(F.first("text").alias("text"))
     texts = materialize(spark, texts, "texts")
-    shape = "a long, b long"
-
-    def compared(rows: DataFrame, name: str) -> DataFrame:
-        groups = rows.join(texts, "member").select("block", "i", "j", "member", "component", "guest", "text")
-        return materialize(spark, by_bytes(groups.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")).mapInArrow(_streamed_links(n, percent), shape), name)
-
-    none, no = F.lit(0).alias("j"), F.lit(False).alias("guest")
     home = F.pmod(F.xxhash64("block"), F.col("shards")).cast("int")
-    envoys = dealt.where("shards > 1").select("block", "shards").distinct().select("block", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"))
-    envoys = envoys.where("i <> home").select("block", "i", none, F.col("block").alias("member"), F.col("block").alias("component"), no)
-    links = compared(dealt.select("block", F.col("shard").alias("i"), none, "member", key.alias("component"), no).union(envoys), "links")
+    envoys = dealt.where("shards > 1").select("block", "shards").distinct().select("block", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    envoys = envoys.where("shard <> home").select("block", "shard", F.col("block").alias("member"))
+    groups = dealt.select("block", "shard", "member").union(envoys).join(texts, "member").select("block", "shard", "member", "text")
+    groups = by_bytes(groups.repartition("block", "shard").sortWithinPartitions("block", "shard"))
+    links = materialize(spark, groups.mapInArrow(_streamed_links(n, percent), "a long, b long"), "links")
 
     split = dealt.where("shards > 1")
     if split.isEmpty():
@@ -386,12 +466,7 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataF
     rest = materialize(spark, split.join(main, "block").where("component <> main").drop("main"), "rest")
     if rest.isEmpty():
         return links
-    rests = rest.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("rests"))
-    guests = rest.join(rests, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"), F.pmod(F.xxhash64(key, F.lit(1)), F.col("rests")).cast("int").alias("j"), F.lit(True).alias("guest"), "member", "component", "shard")
-    hosts = split.join(rests, "block").select("block", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"), "member", "component", no)
-    # Guests meet their own shard where they are already, and each other as hosts of their shards.
-    guests = guests.where("i <> shard").select("block", "i", "j", "member", "component", "guest")
-    return links.union(compared(hosts.union(guests), "more-links"))
+    return links.union(_far_links(spark, split, rest, texts, n, percent))
 
 
 def _joined(spark: SparkSession, docs: DataFrame, n: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
